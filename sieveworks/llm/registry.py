@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op7_mixing
+from .packing import op2_packing
+from .secrets import op10_secrets
 from .simhash import op4_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash": op4_simhash}
+    return {"op2_packing": op2_packing, "op4_simhash": op4_simhash, "op7_mixing": op7_mixing, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
