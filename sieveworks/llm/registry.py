@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op7_mixing
 from .packing import op2_packing
+from .quality import op8_quality
 from .secrets import op10_secrets
 from .simhash import op4_simhash
+from .spotsigs import op1_spotsigs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op4_simhash": op4_simhash, "op7_mixing": op7_mixing, "op10_secrets": op10_secrets}
+    return {"op1_spotsigs": op1_spotsigs, "op2_packing": op2_packing, "op4_simhash": op4_simhash, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
