@@ -15,7 +15,9 @@ Finding links, exactly and without all pairs:
    flipped bits (2,081). Two that share one of these differ in at most four bits by the triangle
    inequality, and any two that differ in at most four share one. So each links to the smallest
    fingerprint in the variant, and no pair needs to be made: a star per variant, linear in rows.
-4. Components by min-label propagation with pointer jumping over tables in the shared folder.
+4. Edges are dealt into tasks of ``FOREST_ROWS``, each of which keeps a star per component of what it
+   holds: at most as many edges as it has fingerprints. What is left goes through min-label
+   propagation with pointer jumping over tables in the shared folder.
 
 Rows with a null id take part but never name a component; a component of such rows alone has a
 null id. A null text is empty; a text without words has fingerprint zero and links like any other.
@@ -41,6 +43,8 @@ SEED = 42
 DENSE = 24
 #: Rows that one task holds of shuffled variants, at most on average.
 TASK_ROWS = 1_500_000
+#: Edges that one task reduces to stars.
+FOREST_ROWS = 500_000
 _BLOCKS = (0x1FFFFF, 0x1FFFFF << 21, 0x3FFFFF << 42)
 _CHUNK = 8192
 
@@ -171,6 +175,26 @@ def links(distinct: DataFrame, scratch: Scratch, dense: int = DENSE) -> DataFram
     return near.unionByName(stars.distinct())
 
 
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and the smallest node of each one's component."""
+    nodes, places = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v, root = places[: len(a)], places[len(a) :], np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        if not (apart := low != high).any():
+            return nodes, nodes[root]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column("a").to_numpy(zero_copy_only=False), b.column("b").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if parts:
+        nodes, roots = roots_of(*(np.concatenate(x) for x in zip(*parts)))
+        yield _edges(nodes[nodes != roots], roots[nodes != roots])
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (the smallest node of its component) of every node of the edges (a, b).
 
@@ -178,6 +202,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     with the logarithm of a component's width. Joins can split a node with many edges, the least
     label is summed up before it is shuffled.
     """
+    edges = scratch.keep(edges.select("a", "b"), "links")
+    edges = edges.repartition(max(1, edges.count() // FOREST_ROWS)).mapInArrow(_forest, "a long, b long")
     both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root"), F.lit(True).alias("moved")), "labels0")
     step = 0

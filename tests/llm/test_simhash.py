@@ -70,6 +70,18 @@ def test_components_equal_brute_force(spark):
         assert sorted(map(sorted, groups.values())) == sorted(sorted(k for k in fps if want[k] == r) for r in set(want.values()))
 
 
+def test_components_with_many_forests(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FOREST_ROWS", 10)
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(-5, k) for k in range(400, 450)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(100):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = simhash.components(spark.createDataFrame(edges, "a long, b long").where("a <> b"), Scratch(spark, "test")).collect()
+    assert {r.node: r.root for r in found} == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     rows = simhash.near_duplicates(odd_documents).collect()
     assert len(rows) == 8
