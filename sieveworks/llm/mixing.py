@@ -93,4 +93,4 @@ def training_order(df: DataFrame, **options) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, and where."""
     found = mixed(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("positions")[0].alias("first_position"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.get("positions", F.lit(0)).alias("first_position"))

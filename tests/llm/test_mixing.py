@@ -63,3 +63,9 @@ def test_training_order(spark, odd_documents, no_documents):
     assert odd.columns == odd_documents.columns and odd.count() >= 3
     assert len(mixing.mixed(odd_documents).collect()) == 8
     assert mixing.training_order(no_documents).count() == 0
+
+
+def test_query(spark):
+    rows = mixing.op7_mixing(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 200 and all(r.taken <= 2 * r.size for r in rows)
+    assert all((r.first_position is None) == (r.taken == 0) for r in rows)
