@@ -14,6 +14,7 @@ from .secrets import op10_secrets
 from .simhash import op4_simhash
 from .spotsigs import op1_spotsigs
 from .topk import OP6_SQL, op6_topk
+from .toxicity import op5_toxicity
 from .urls import op3_urls
 
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_urls": op3_urls,
         "op4_simhash": op4_simhash,
+        "op5_toxicity": op5_toxicity,
         "op6_topk": op6_topk,
         "op7_mixing": op7_mixing,
         "op8_quality": op8_quality,

@@ -238,6 +238,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(heads, "fp").select("doc_id", "row_key", "fp", F.col("head.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("row_key") == F.col("head.row_key"))).alias("leader"))
 
 
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The leaders of all groups, with the columns of df; of rows that repeat id and text one stays."""
+    spark = df.sparkSession
+    scratch = Scratch(spark, "dedup")
+    found = near_duplicates(df, id_col, text_col, shingle).where("leader").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
+    leaders = scratch.keep(found.groupBy("_id", "_key").agg(F.count("*").alias("_times")), "leaders")
+    keyed = df.withColumn("_row_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = keyed.join(leaders, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")))
+    if leaders.where("_times > 1").limit(1).count():
+        kept = kept.where("_times = 1").unionByName(kept.where("_times > 1").dropDuplicates([id_col, "_row_key"]))
+    return kept.select(*df.columns)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
