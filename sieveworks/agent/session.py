@@ -248,7 +248,7 @@ class Session:
         source = next(({k: d[k] for k in ("path", "sha256")} for d in self.datasets if d["variable"] == variable), {})
         number = len(list((self.folder / "clean_reports").glob("*.json"))) + 1
         outputs = {}
-        if any(x["status"] == "fixed" for x in fixes):
+        if working.columns and any(x["status"] == "fixed" for x in fixes):
             path = self.folder / "cleaned" / f"{variable}.parquet"
             working.write.mode("overwrite").parquet(str(path))
             lineage = path.with_suffix(".lineage.json")

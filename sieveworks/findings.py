@@ -10,7 +10,7 @@ from typing import Any
 from .functions import vocab as V
 
 AUTO, GATE, HUMAN = "AUTO", "GATE", "HUMAN"
-_BREAKS = re.compile("[\n\r\t\v\f\x1c\x1d\x1e\x85  ]+")
+_BREAKS = re.compile("[\n\r\t\v\f\x1c\x1d\x1e\x85\u2028\u2029]+")
 
 
 def one_line(text: object) -> str:

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vocab as V
 
@@ -60,7 +61,7 @@ def folded(c: Column) -> Column:
     return F.lower(collapsed(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).split()).casefold())
 

@@ -29,7 +29,7 @@ def statistics(df: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("there"), F.col("n")).otherwise(0)).alias("non_null"),
         F.count_if("there").alias("distinct"),
         F.min("x").alias("min"),
-        F.percentile("x", F.lit(0.5), "n").alias("median"),
+        F.percentile("x", F.lit(0.5), F.col("n")).alias("median"),
         F.max("x").alias("max"),
     )
     return out.select(F.get(names, F.col("k")).alias("column"), F.get(types, F.col("k")).alias("type"), "non_null", "distinct", "min", "median", "max", F.col("k").alias("place"))

@@ -9,6 +9,7 @@ ORC are read by Spark's own scans, so pruning and pushdown hold.
 from __future__ import annotations
 
 import bz2
+import codecs
 import gzip
 import json
 import lzma
@@ -16,6 +17,7 @@ import os
 import tempfile
 import urllib.error
 import urllib.request
+import uuid
 import zipfile
 from pathlib import Path
 from typing import Any
@@ -80,7 +82,7 @@ def read_file(path: str | os.PathLike, spark: SparkSession | None = None, **opti
         return read_text(p, spark, **options)
     if inner not in OTHER_SUFFIXES:
         raise ValueError(f"unsupported file type {suffix!r}; supported: {', '.join((*TEXT_SUFFIXES, *OTHER_SUFFIXES))}, each also as {', '.join(COMPRESSED)}")
-    local = plain_file(p) if suffix in COMPRESSED else p
+    local = plain_file(p, spark) if suffix in COMPRESSED else p
     if inner in (".parquet", ".pq"):
         return spark.read.parquet(str(local))
     if inner == ".orc":
@@ -104,13 +106,25 @@ def opened(path: Path):
     return {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}.get(suffix, open)(path, "rb")
 
 
-def plain_file(path: Path) -> Path:
-    """A decompressed copy, for codecs that Spark's readers lack."""
-    out = Path(tempfile.mkdtemp(prefix="sieveworks-")) / path.stem
+def plain_file(path: Path, spark: SparkSession, encoding: str = "utf-8") -> str:
+    """A decompressed UTF-8 copy, for codecs and encodings that Spark's readers lack.
+
+    It goes to the folder that the cluster shares (spark.checkpoint.dir); only without one, on a single
+    machine, to a temporary folder.
+    """
+    out = Path(tempfile.mkdtemp(prefix="sieveworks-")) / (path.stem if path.suffix.lower() in COMPRESSED else path.name)
     with opened(path) as a, open(out, "wb") as b:
+        decode = codecs.getincrementaldecoder(encoding)(errors="replace")
         while chunk := a.read(1 << 20):
-            b.write(chunk)
-    return out
+            b.write(chunk if encoding == "utf-8" else decode.decode(chunk).encode())
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return str(out)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = f"{shared.rstrip('/')}/staged-{uuid.uuid4().hex[:12]}/{out.name}"
+    to = hadoop.Path(target)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, hadoop.Path(str(out)), to)
+    return target
 
 
 def sniff(sample: bytes) -> tuple[str, str]:
@@ -136,7 +150,7 @@ def read_text(path: Path, spark: SparkSession, infer: bool = True, sep: str | No
         sample = f.read(SAMPLE_BYTES)
     found_sep, found_encoding = sniff(sample)
     sep, encoding = sep or found_sep, encoding or found_encoding
-    local = plain_file(path) if path.suffix.lower() in (".zip", ".xz") else path
+    local = plain_file(path, spark, encoding) if path.suffix.lower() in (".zip", ".xz") or encoding not in ("utf-8", "iso-8859-1") else path
     with opened(path) as f:
         head = io.TextIOWrapper(f, "utf-8-sig" if encoding == "utf-8" else encoding, newline="", errors="replace")
         names = next(csv.reader(head, delimiter=sep), [])
@@ -144,7 +158,7 @@ def read_text(path: Path, spark: SparkSession, infer: bool = True, sep: str | No
     if not names:
         return spark.createDataFrame([], T.StructType())
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    options = {"sep": sep, "encoding": {"cp1252": "windows-1252"}.get(encoding, encoding), "multiLine": True, "quote": '"', "escape": '"', "header": True, "enforceSchema": True, "mode": "PERMISSIVE"}
+    options = {"sep": sep, "encoding": "utf-8" if encoding not in ("utf-8", "iso-8859-1") else encoding, "multiLine": True, "quote": '"', "escape": '"', "header": True, "enforceSchema": True, "mode": "PERMISSIVE"}
     df = spark.read.schema(schema).options(**options).csv(str(local))
     df = df.select(*(F.coalesce(F.col(f"c{i}"), F.lit("")).alias(f"c{i}") for i in range(len(names))))
     df = numbers_where_all(df) if infer else df

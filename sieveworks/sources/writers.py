@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import shutil
-import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -24,9 +24,9 @@ def write(df: DataFrame, path: str | Path, single_file: bool = True, **options)
         if not single_file:
             df.write.mode("overwrite").format(kind).options(**more).save(str(p))
             return p
-        folder = Path(tempfile.mkdtemp(prefix="sieveworks-"))
-        df.coalesce(1).write.mode("overwrite").format(kind).options(**more).save(str(folder / "out"))
-        (part,) = [x for x in (folder / "out").iterdir() if x.name.startswith("part-")] or [None]
+        folder = p.parent / f".{p.name}-{uuid.uuid4().hex[:8]}"  # beside the target, where executors can write too
+        df.coalesce(1).write.mode("overwrite").format(kind).options(**more).save(str(folder))
+        (part,) = [x for x in folder.iterdir() if x.name.startswith("part-")] or [None]
         if part is None:
             p.write_text("")
         else:
