@@ -26,6 +26,7 @@ null id. A null text is empty; a text without words has fingerprint zero and lin
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, id_and_text, partitions, table
+from .common import Scratch, bounded_batches, id_and_text, partitions, release, table
 
 #: Differing bits at which two fingerprints still link. The blocks and balls below are made for four.
 RADIUS = 4
@@ -158,21 +159,27 @@ def _star_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _edges(fps[fps != least], least[fps != least])
 
 
-def links(distinct: DataFrame, scratch: Scratch, dense: int = DENSE) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints (column fp) that join exactly the components of the link relation."""
+def met(distinct: DataFrame, scratch: Scratch, dense: int = DENSE, tag: str = "") -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) among distinct fingerprints (column fp): compared pairs, and stars of crowded variants.
+
+    Together they join exactly the components of the link relation; every edge links two fingerprints.
+    """
     spark = distinct.sparkSession
     n = distinct.count()
     tasks = max(partitions(spark), -(-n * 132 // TASK_ROWS))
-    met = distinct.mapInArrow(_block_variants, "variant long, fp long").repartition(tasks, "variant").mapInArrow(_block_edges(dense), "a long, b long")
-    met = scratch.keep(met, "met")
-    near = met.where("a <> b").distinct()
-    crowded = met.where("a = b").select(F.col("a").alias("fp")).distinct()
-    if not (m := crowded.count()):
-        return near
+    blocks = distinct.mapInArrow(_block_variants, "variant long, fp long").repartition(tasks, "variant").mapInArrow(_block_edges(dense), "a long, b long")
+    blocks = scratch.keep(blocks, f"met{tag}")
+    crowded = blocks.where("a = b").select(F.col("a").alias("fp")).distinct()
+    m = crowded.count()
     tasks = max(partitions(spark), -(-m * 2081 // TASK_ROWS))
     spread = crowded.repartition(max(partitions(spark), m // 512))
     stars = spread.mapInArrow(_ball_variants, "variant long, fp long").repartition(tasks, "variant").mapInArrow(_star_edges, "a long, b long")
-    return near.unionByName(stars.distinct())
+    return blocks.where("a <> b").distinct(), stars.distinct() if m else blocks.where("a <> a")
+
+
+def links(distinct: DataFrame, scratch: Scratch, dense: int = DENSE) -> DataFrame:
+    near, stars = met(distinct, scratch, dense)
+    return near.unionByName(stars)
 
 
 def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,17 +202,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(nodes[nodes != roots], roots[nodes != roots])
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, tag: str = "") -> DataFrame:
     """node, root (the smallest node of its component) of every node of the edges (a, b).
 
     Each round takes the least label among the neighbours, then the label of that label; rounds grow
     with the logarithm of a component's width. Joins can split a node with many edges, the least
     label is summed up before it is shuffled.
     """
-    edges = scratch.keep(edges.select("a", "b"), "links")
+    edges = scratch.keep(edges.select("a", "b"), f"links{tag}")
     edges = edges.repartition(max(1, edges.count() // FOREST_ROWS)).mapInArrow(_forest, "a long, b long")
-    both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root"), F.lit(True).alias("moved")), "labels0")
+    both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"edges{tag}")
+    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root"), F.lit(True).alias("moved")), f"labels{tag}-0")
     step = 0
     while labels.where("moved").limit(1).count():
         now = labels.select("node", "root")
@@ -213,8 +220,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         best = now.join(seen, "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("least", "root")).alias("best"))
         over = now.select(F.col("node").alias("best"), F.col("root").alias("next"))
         jumped = best.join(over, "best", "left").select("node", F.least("best", F.coalesce("next", "best")).alias("root"), (F.least("best", F.coalesce("next", "best")) < F.col("was")).alias("moved"))
-        labels = scratch.keep(jumped, f"labels{step + 1}")
-        scratch.drop(f"labels{step}")
+        labels = scratch.keep(jumped, f"labels{tag}-{step + 1}")
+        scratch.drop(f"labels{tag}-{step}")
         step += 1
     return labels.select("node", "root")
 
@@ -238,12 +245,124 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(heads, "fp").select("doc_id", "row_key", "fp", F.col("head.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("row_key") == F.col("head.row_key"))).alias("leader"))
 
 
-def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The leaders of all groups, with the columns of df; of rows that repeat id and text one stays."""
+# --- near copies by shared shingles ------------------------------------------------------------
+#
+# A shingle fingerprint of four differing bits finds texts that are all but equal: an edited word
+# changes as many shingles as a shingle has words. Near copies whose shingle sets are alike by
+# COPY_LIKENESS or more share far more words than shingles, so they are found by TABLES fingerprints
+# of their distinct words (each by the balls above), and every pair that meets is compared by its
+# shingle sets. Four independent fingerprints leave about one pair in thirty unmet at a likeness of
+# 0.8, and fewer above (measured in the README).
+
+TABLES = 4
+COPY_SHINGLE = 5
+COPY_LIKENESS = 0.8
+
+
+def word_fingerprints(text: bytes) -> list[int]:
+    """TABLES independent 64-bit fingerprints of a text's distinct words, as signed integers."""
+    words = set(text.lower().split())
+    if not words:
+        return [0] * TABLES
+    digests = b"".join(xxhash.xxh3_128_digest(w, seed) for w in words for seed in range(TABLES // 2))
+    bits = np.zeros(64 * TABLES, np.int64)
+    rows = np.frombuffer(digests, np.uint8).reshape(len(words), 8 * TABLES)
+    for at in range(0, len(rows), _CHUNK):
+        bits += np.unpackbits(rows[at : at + _CHUNK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(bits * 2 > len(words), bitorder="little").view(np.int64).tolist()
+
+
+def shingle_likeness(a: bytes, b: bytes, shingle: int = COPY_SHINGLE) -> float:
+    """Jaccard likeness of the shingle sets of two texts; a text of fewer words is one shingle."""
+    sets = []
+    for text in (a, b):
+        words = text.lower().split()
+        n = min(shingle, len(words))
+        sets.append({b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)})
+    union = len(sets[0] | sets[1])
+    return len(sets[0] & sets[1]) / union if union else 1.0
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [word_fingerprints(x.as_py()) for x in batch.column("bytes")]
+        columns = [pa.array([f[t] for f in found], pa.int64()) for t in range(TABLES)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *columns], names=["doc_id", "row_key", *(f"f{t}" for t in range(TABLES))])
+
+
+def _alike(shingle: int, least: float):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = [shingle_likeness(x, y, shingle) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(fits, pa.bool_())], names=["a", "b", "fits"])
+
+    return scan
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, likeness: float = COPY_LIKENESS, dense: int = DENSE) -> DataFrame:
+    """doc_id, row_key, component_id and leader of every row, as near_duplicates gives them, for near copies by shingle likeness.
+
+    Equal texts are one class. Classes whose word fingerprints meet are compared by their texts. In
+    crowds, where pairs would grow with the square, classes are compared with the crowd's smallest
+    member; those that differ from it form crowds of their own along the links among them, until
+    none is left. Nulls, empties, ties and repeats are treated as in near_duplicates; texts without
+    words are one group.
+    """
+    spark = df.sparkSession
+    scratch = Scratch(spark, "copies")
+    bounded_batches(spark)
+    docs = id_and_text(df, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row_key"), F.col("text").cast("binary").alias("bytes"))
+    prints = ", ".join(f"f{t} long" for t in range(TABLES))
+    rows = scratch.keep(docs.mapInArrow(_prints, f"doc_id long, row_key long, {prints}"), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    classes = scratch.keep(rows.groupBy("row_key").agg(first, *(F.min(f"f{t}").alias(f"f{t}") for t in range(TABLES))), "classes")
+    pairs, stars = [], []
+    for t in range(TABLES):
+        heads = scratch.keep(classes.groupBy(F.col(f"f{t}").alias("fp")).agg(F.min("row_key").alias("head")), f"heads{t}")
+        near, crowd = met(heads.select("fp"), scratch, dense, f"-{t}")
+        crowd = crowd.repartition(partitions(spark), "a").mapInArrow(_forest, "a long, b long")
+        named = lambda e, heads=heads: e.join(heads.withColumnsRenamed({"fp": "a", "head": "x"}), "a").join(heads.withColumnsRenamed({"fp": "b", "head": "y"}), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        same = classes.join(heads.withColumnRenamed("fp", f"f{t}"), f"f{t}").where("row_key <> head").select(F.col("head").alias("a"), F.col("row_key").alias("b"))
+        pairs.append(scratch.keep(named(near), f"pairs{t}"))
+        stars.append(scratch.keep(named(crowd).unionByName(same), f"stars{t}"))
+        release(spark)
+    union = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
+    pairs_, stars_ = scratch.keep(union(pairs), "pairs"), scratch.keep(union(stars), "stars")
+    nodes = pairs_.unionByName(stars_).select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
+    wanted = classes.join(nodes, "row_key").select(F.col("row_key").alias("node"), F.col("first.doc_id").alias("first_id"))
+    same_row = (F.col("row_key") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    texts = scratch.keep(docs.join(wanted, same_row).select("node", "bytes"), "texts")  # a row a class, or equal ones
+    release(spark)
+
+    def compared(edges: DataFrame, name: str) -> DataFrame:
+        both = edges.join(texts.withColumnsRenamed({"node": "a", "bytes": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "bytes": "y"}), "b")
+        return scratch.keep(both.mapInArrow(_alike(shingle, likeness), "a long, b long, fits boolean"), name)
+
+    kept = [compared(pairs_, "compared").where("fits").select("a", "b")]
+    turn = 0
+    while stars_.limit(1).count():
+        crowds = components(stars_, scratch, f"-crowd{turn}").where("node <> root")
+        tried = compared(crowds.select(F.col("root").alias("a"), F.col("node").alias("b")), f"compared{turn}")
+        kept.append(tried.where("fits").select("a", "b"))
+        left = tried.groupBy("b").agg(F.max("fits").alias("fits")).where("not fits").select("b")
+        among = stars_.join(left, "b", "left_semi").join(left.withColumnRenamed("b", "a"), "a", "left_semi").select("a", "b")
+        stars_ = scratch.keep(among, f"stars-{turn}")
+        turn += 1
+    roots = components(union(kept), scratch)
+    named = classes.join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").select("row_key", F.coalesce("root", "row_key").alias("root"), F.struct("first.*", "row_key").alias("first"))
+    named = scratch.keep(named, "named")
+    heads = named.join(named.groupBy("root").agg(F.min("first").alias("head")), "root").select("row_key", "head")
+    lead = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("row_key") == F.col("head.row_key"))
+    return rows.join(heads, "row_key").select("doc_id", "row_key", F.col("head.doc_id").alias("component_id"), lead.alias("leader"))
+
+
+def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, likeness: float = COPY_LIKENESS) -> DataFrame:
+    """The leaders of all groups of near copies, with the columns of df; of rows that repeat id and text one stays."""
     spark = df.sparkSession
     scratch = Scratch(spark, "dedup")
-    found = near_duplicates(df, id_col, text_col, shingle).where("leader").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
+    found = near_copies(df, id_col, text_col, shingle, likeness).where("leader").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
     leaders = scratch.keep(found.groupBy("_id", "_key").agg(F.count("*").alias("_times")), "leaders")
+    release(spark)
     keyed = df.withColumn("_row_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     kept = keyed.join(leaders, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")))
     if leaders.where("_times > 1").limit(1).count():

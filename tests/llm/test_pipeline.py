@@ -24,7 +24,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert sum(k in want for k, q in marks.items() if q == 1) >= 0.97 * sum(marks.values())
 
     one = staged(spark, tmp_path, good, pipeline.dedup_stage)
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(good, shingle=pipeline.SHINGLE).collect()}
+    groups = {r.doc_id: r.component_id for r in simhash.near_copies(good).collect()}
     assert one.columns == docs.columns and sorted(r.doc_id for r in one.select("doc_id").collect()) == sorted(set(groups.values()))
 
     clean = staged(spark, tmp_path, one, pipeline.secrets_stage)

@@ -89,3 +89,43 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert by[2].component_id == by[3].component_id == by[6].component_id == 2
     assert by[1].component_id == 1 and by[None].component_id is None
     assert simhash.near_duplicates(no_documents).count() == 0
+
+
+def edited(rng, words, changes):
+    words = list(words)
+    for i in rng.sample(range(len(words)), changes):
+        words[i] = f"e{rng.random()}"
+    return " ".join(words)
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(12)
+    docs = []
+    for i in range(25):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 300))]
+        docs += [(len(docs) + j, " ".join(base) if j < 2 else edited(rng, base, rng.choice((1, 1, 2, 40)))) for j in range(rng.randint(1, 5))]
+    docs += [(len(docs) + j, f"short {j} text") for j in range(20)]
+    likeness = {(a, b): simhash.shingle_likeness(x.encode(), y.encode()) if x.split() or y.split() else 1 for a, x in docs for b, y in docs if a < b}
+    root = {a: a for a, _ in docs}
+    for _ in range(20):
+        for (a, b), n in likeness.items():
+            if n >= 0.8:
+                root[a] = root[b] = min(root[a], root[b])
+    for dense in (2, simhash.DENSE):
+        found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), dense=dense).collect()}
+        assert found == root
+
+
+def test_near_copies_of_one_text_stay_one(spark):
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(300)]
+    docs = [(i, edited(rng, base, 1)) for i in range(200)] + [(1000 + i, " ".join(base)) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.component_id for r in simhash.near_copies(df).collect()} == {0}
+    assert [r.doc_id for r in simhash.without_near_copies(df).collect()] == [0]
+
+
+def test_near_copies_of_odd_rows(spark, odd_documents, no_documents):
+    rows = simhash.near_copies(odd_documents).collect()
+    assert len(rows) == 8 and {r.component_id for r in rows if r.doc_id in (2, 3, 6)} == {2}
+    assert simhash.near_copies(no_documents).count() == 0 and simhash.without_near_copies(odd_documents).columns == odd_documents.columns
