@@ -16,10 +16,19 @@ from pyspark.sql import types as T
 from . import vocab as V
 
 _CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in V.SPACES) + "]"
-_NOT_PLAIN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in V.SPACES if c != " ") + "]"
 _EXOTIC = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in V.EXOTIC_SPACES + V.ZERO_WIDTH) + "]"
-#: Any space at an edge, run of spaces, space other than the plain one, or zero-width noise.
-DAMAGE = f"^ | $|  |{_NOT_PLAIN}|" + "[" + "".join(f"\\x{{{ord(c):x}}}" for c in V.ZERO_WIDTH) + "]"
+_ODD = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in V.SPACES + V.ZERO_WIDTH if c != " ") + "]"
+_ODD_ASCII = r"[\t-\r\x1c-\x1f]"
+
+
+def odd_space(c: Column) -> Column:
+    """Any space other than the plain one, or zero-width noise."""
+    return F.when(is_ascii(c), c.rlike(_ODD_ASCII)).otherwise(c.rlike(_ODD))
+
+
+def damaged(c: Column) -> Column:
+    """Spaces at an edge, in runs, of another kind, or zero-width noise."""
+    return F.contains(c, F.lit("  ")) | F.startswith(c, F.lit(" ")) | F.endswith(c, F.lit(" ")) | odd_space(c)
 
 
 def trimmed(c: Column) -> Column:
@@ -41,7 +50,7 @@ def first_match(c: Column, shapes: dict[str, str]) -> Column:
 def tidy_spaces(c: Column) -> Column:
     """Every Unicode space a plain one, zero-width noise gone, runs collapsed, ends trimmed."""
     mapped = F.translate(c, V.EXOTIC_SPACES + V.ZERO_WIDTH, " " * len(V.EXOTIC_SPACES))
-    return F.when(c.rlike(DAMAGE), trimmed(F.regexp_replace(mapped, f"{_CLASS}+", " "))).otherwise(c)
+    return F.when(damaged(c), trimmed(F.regexp_replace(mapped, f"{_CLASS}+", " "))).otherwise(c)
 
 
 def has_exotic_space(c: Column) -> Column:
@@ -49,7 +58,9 @@ def has_exotic_space(c: Column) -> Column:
 
 
 def collapsed(c: Column) -> Column:
-    return trimmed(F.regexp_replace(c, f"{_CLASS}+", " "))
+    """Runs of spaces of any kind as one plain space, ends trimmed; the pattern runs only where there is one."""
+    inner = F.trim(c)
+    return F.when(F.contains(inner, F.lit("  ")) | odd_space(c), trimmed(F.regexp_replace(c, f"{_CLASS}+", " "))).otherwise(inner)
 
 
 def is_ascii(c: Column) -> Column:

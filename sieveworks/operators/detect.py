@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 
 from ..findings import Diagnosis, Finding, one_line
@@ -11,6 +13,10 @@ from ..plans.measures import Measures
 from . import number_checks, row_checks, text_checks  # noqa: F401
 from .registry import BY_COLUMN, CHECKS
 
+#: Checks that run at once, and those that start first.
+AT_ONCE = 4
+LONG_CHECKS = (9, 10, 12, 15, 7)
+
 
 def detect_all(df: DataFrame, name: str = "dataframe") -> Diagnosis:
     """All checks of one table: findings, and which checks were silent and which could not run."""
@@ -18,12 +24,23 @@ def detect_all(df: DataFrame, name: str = "dataframe") -> Diagnosis:
     if not table.width or not table.rows:
         return Diagnosis(clear=list(V.SINGLE_TABLE))
     out, m = Diagnosis(), Measures(table)
+    everything = list(range(table.width))
+
+    def run(disease: int) -> tuple[list[Finding], str]:
+        try:
+            return CHECKS[disease](m, everything), ""
+        except Exception as e:  # noqa: BLE001 - a check that breaks must not stop the others, and must not look clear
+            return [], one_line(f"{type(e).__name__}: {e}")[:240]
+
     try:
+        # most checks wait on small jobs; side by side they fill the cores. Long ones start first
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            jobs = {d: pool.submit(run, d) for d in sorted(V.SINGLE_TABLE, key=lambda d: (d not in LONG_CHECKS, d))}
         for disease in V.SINGLE_TABLE:
-            try:
-                out.findings += CHECKS[disease](m, list(range(table.width)))
-            except Exception as e:  # noqa: BLE001 - a check that breaks must not stop the others, and must not look clear
-                out.broken[str(disease)] = one_line(f"{type(e).__name__}: {e}")[:240]
+            found, why = jobs[disease].result()
+            out.findings += found
+            if why:
+                out.broken[str(disease)] = why
     finally:
         m.release()
     out.findings.sort(key=lambda f: (f.disease, f.columns))

@@ -18,18 +18,21 @@ from .registry import check
 FD_PAIRS, FD_PAIRS_LARGE, FD_LARGE_ROWS = 200, 16, 20_000
 FD_DETERMINANTS, FD_DEPENDENTS = 12, 20
 HEADER_ROWS = 200
+#: Columns, those of most values, that may already tell all rows apart.
+NEAR_COLUMNS = 6
 
 
 def distinct_rows(df: DataFrame, columns: list) -> int:
-    """Distinct rows by two 64-bit hashes in which nulls count; 16 bytes a row are shuffled."""
-    parts = [x for c in columns for x in (c, c.isNull())]
-    return df.select(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b")).distinct().count()
+    """Distinct rows by two 64-bit hashes of the cells' hashes, in which a null has its place; 16 bytes a row are shuffled."""
+    cells = df.select(F.array(*(F.xxhash64(c) for c in columns)).alias("cells"))
+    return cells.select(F.xxhash64("cells").alias("a"), F.xxhash64(F.lit(1), "cells").alias("b")).distinct().count()
 
 
 def exact_repeats(m: Measures) -> int:
-    if "repeats" not in m.__dict__:
-        m.repeats = m.table.rows - distinct_rows(m.table.df, [F.col(f"c{k}") for k in range(m.table.width)])
-    return m.repeats
+    with m.lock:
+        if "repeats" not in m.__dict__:
+            m.repeats = m.table.rows - distinct_rows(m.table.df, [F.col(f"c{k}") for k in range(m.table.width)])
+        return m.repeats
 
 
 @check(9)
@@ -45,11 +48,14 @@ def near_duplicate_rows(m: Measures, cols: list[int]) -> list[Finding]:
     texts = m.table.of_kind("text")
     if not texts:
         return []
-    foreign = m.table.df.where(~F.concat(*(F.coalesce(X.is_ascii(F.col(f"c{k}")), F.lit(True)).cast("string") for k in texts)).rlike("^(true)+$")).limit(1).count()
+    foreign = any(m.text[k]["foreign"] for k in texts)
     fold = X.folded_any if foreign else X.folded
-    columns = [fold(F.col(f"c{k}")) if k in texts else F.col(f"c{k}") for k in range(m.table.width)]
     exact = exact_repeats(m)
-    near = m.table.rows - distinct_rows(m.table.df, columns) - exact
+    folded = lambda ks: [fold(F.col(f"c{k}")) if k in texts else F.col(f"c{k}") for k in ks]
+    telling = sorted(range(m.table.width), key=lambda k: -m.about(k))[:NEAR_COLUMNS]
+    if len(telling) < m.table.width and distinct_rows(m.table.df, folded(telling)) == m.table.rows - exact:
+        return []  # rows that differ in some folded columns differ in all
+    near = m.table.rows - distinct_rows(m.table.df, folded(range(m.table.width))) - exact
     if near <= 0:
         return []
     said = f"{near} rows repeat another row once case, white space and compatibility forms are folded"
@@ -128,10 +134,9 @@ def header_damage(m: Measures, cols: list[int]) -> list[Finding]:
     times = Counter(names)
     doubled = sum(n - 1 for n in times.values())
     unnamed = [n for n in names if n.startswith("Unnamed:") or not n.strip()]
-    repeats = F.lit(True)
-    for k, n in enumerate(names):
-        repeats = repeats & F.coalesce(F.col(f"c{k}").cast("string") == n, F.lit(False))
-    repeated = m.table.df.orderBy("_rid").limit(HEADER_ROWS).where(repeats).count() if set(m.table.kinds) == {"text"} else 0
+    repeated = 0
+    if set(m.table.kinds) == {"text"}:
+        repeated = sum(list(r) == names for r in m.table.first.select(*(f"c{k}" for k in range(m.table.width))).take(HEADER_ROWS))
     if not (marked or doubled or unnamed or repeated):
         return []
     counts = ((len(marked), "column names with a zero-width mark"), (doubled, "repeated column names"), (len(unnamed), "columns without a name"), (repeated, "data rows that repeat the header"))

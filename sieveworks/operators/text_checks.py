@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -150,13 +151,26 @@ def differ_in_digits_only(a: str, b: str) -> bool:
 
 
 def similar(values: list[str]) -> list[tuple[float, str, str]]:
-    """Pairs of similar values, in the order of the values; the first 50."""
+    """Pairs of similar values, in the order of the values; the first 50.
+
+    Shared letters bound a pair's ratio from above; they are counted for all pairs at once, and only
+    pairs that can reach the threshold are compared.
+    """
     pairs: list[tuple[float, str, str]] = []
+    letters = {c: i for i, c in enumerate(sorted(set("".join(values))))}
+    counts = np.zeros((len(values), len(letters)), np.int32)
+    for i, v in enumerate(values):
+        for c in v:
+            counts[i, letters[c]] += 1
+    sizes = counts.sum(axis=1)
     for i, a in enumerate(values):
-        for b in values[i + 1 :]:
-            near = SequenceMatcher(None, a, b)
-            if abs(len(a) - len(b)) <= 3 and min(near.real_quick_ratio(), near.quick_ratio()) >= FUZZY and near.ratio() >= FUZZY and not differ_in_digits_only(a, b):
-                pairs.append((round(near.ratio(), 3), a, b))
+        rest = slice(i + 1, None)
+        shared = np.minimum(counts[i], counts[rest]).sum(axis=1)
+        near = (abs(sizes[rest] - sizes[i]) <= 3) & (2 * shared >= FUZZY * (sizes[rest] + sizes[i]) - 1e-9)
+        for j in np.flatnonzero(near) + i + 1:
+            ratio = SequenceMatcher(None, a, values[j]).ratio()
+            if ratio >= FUZZY and not differ_in_digits_only(a, values[j]):
+                pairs.append((round(ratio, 3), a, values[j]))
                 if len(pairs) == FUZZY_PAIRS:
                     return pairs
     return pairs
@@ -174,12 +188,15 @@ def spelling_variants(m: Measures, cols: list[int]) -> list[Finding]:
     samples: dict[int, list[str]] = {}
     if shrunk:
         rank = F.row_number().over(Window.partitionBy("k").orderBy("first"))
-        for r in folds.where(F.col("k").isin(*shrunk) & (F.col("spellings") > 1)).withColumn("rank", rank).where("rank <= 3").orderBy("k", "rank").collect():
-            samples.setdefault(r.k, []).append(r.original)
+        firsts = folds.where(F.col("k").isin(*shrunk) & (F.col("spellings") > 1)).withColumn("rank", rank).where("rank <= 3").select("k", "first").collect()
+        picked = m.dictionary.where(F.col("first").isin(*{r["first"] for r in firsts}) & F.col("k").isin(*shrunk)).select("k", "first", "v").collect()
+        of = {(r.k, r["first"]): r.v for r in picked}
+        for r in sorted(firsts):
+            samples.setdefault(r.k, []).append(of.get((r.k, r["first"]), ""))
     ranked: dict[int, list] = {}
     if coarse:
         rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), "first"))
-        top = folds.where(F.col("k").isin(*coarse) & (F.length("fold") >= 6)).withColumn("rank", rank).where(F.col("rank") <= FUZZY_VALUES)
+        top = m.folds(coarse, strings=True).where(F.length("fold") >= 6).withColumn("rank", rank).where(F.col("rank") <= FUZZY_VALUES)
         for r in top.orderBy("k", "rank").collect():
             ranked.setdefault(r.k, []).append((r.fold, r.original))
     out = []
@@ -252,36 +269,39 @@ def split_siblings(m: Measures, cols: list[int]) -> list[Finding]:
     for k in cols:
         if m.table.kinds[k] == "text" and (hit := re.match(V.SIBLING, m.table.key(k))):
             groups.setdefault(hit["prefix"], []).append((int(hit["num"]), k))
+    pairs = {(a, b): prefix for prefix, members in groups.items() for (_, a), (_, b) in zip(sorted(members), sorted(members)[1:])}
+    if not pairs:
+        return []
+    rows_of = sibling_rows(m, sorted({k for pair in pairs for k in pair}))
     out = []
-    for prefix, members in groups.items():
-        members_ = [k for _, k in sorted(members)]
-        for a, b in zip(members_, members_[1:]):
-            rows = sibling_rows(m, a, b)
-            if len(rows) < 5:
-                continue
-            n = len(rows)
-            joined = sum(x[-1].isalnum() and y[0].isalnum() for x, y in rows)
-            last, first = [x.split()[-1] for x, _ in rows], [y.split()[0] for _, y in rows]
-            short = sum(min(len(x), len(y)) <= 3 for x, y in zip(last, first))
-            words = {w.lower() for i in (0, 1) for r in rows[:: max(1, -(-n // SPLIT_WORDS))] for w in r[i].split()}
-            healed = sum((x + y).lower() in words for x, y in zip(last, first))
-            if joined >= 0.8 * n and short >= 0.6 * n and healed >= 0.4 * n:
-                said = f"{healed} rows break mid-word across {prefix}* columns and make words only when joined, such as {shown(f'{x}|{y}' for x, y in rows)}"
-                stats = {"kind": "split_columns", "rows": healed, "healed_frac": healed / n, "members": [m.table.names[k] for k in members_]}
-                out.append(finding(17, [m.table.names[a], m.table.names[b]], said, stats, AUTO, 0.85))
+    for (a, b), prefix in pairs.items():
+        rows = [(x, y) for x, y in zip(rows_of[a], rows_of[b]) if x and y]
+        if len(rows) < 5:
+            continue
+        n = len(rows)
+        joined = sum(x[-1].isalnum() and y[0].isalnum() for x, y in rows)
+        last, first = [x.split()[-1] for x, _ in rows], [y.split()[0] for _, y in rows]
+        short = sum(min(len(x), len(y)) <= 3 for x, y in zip(last, first))
+        if joined < 0.8 * n or short < 0.6 * n:
+            continue
+        words = {w.lower() for i in (0, 1) for r in rows[:: max(1, -(-n // SPLIT_WORDS))] for w in r[i].split()}
+        healed = sum((x + y).lower() in words for x, y in zip(last, first))
+        if healed >= 0.4 * n:
+            said = f"{healed} rows break mid-word across {prefix}* columns and make words only when joined, such as {shown(f'{x}|{y}' for x, y in rows)}"
+            stats = {"kind": "split_columns", "rows": healed, "healed_frac": healed / n, "members": [m.table.names[k] for _, k in sorted(groups[prefix])]}
+            out.append(finding(17, [m.table.names[a], m.table.names[b]], said, stats, AUTO, 0.85))
     return out
 
 
-def sibling_rows(m: Measures, a: int, b: int) -> list[tuple[str, str]]:
-    from ..functions.text import is_token, trimmed
-
-    df = m.table.df.select("_rid", F.col(f"c{a}").alias("x"), F.col(f"c{b}").alias("y"))
-    for c in ("x", "y"):
-        df = df.where(F.col(c).isNotNull() & (trimmed(F.col(c)) != "") & ~is_token(trimmed(F.col(c))))
+def sibling_rows(m: Measures, columns: list[int]) -> dict[int, list[str | None]]:
+    """Some columns of a bounded sample of rows, with blanks and tokens as None."""
+    df = m.table.df.select("_rid", *(f"c{k}" for k in columns))
     step = m.table.rows // SPLIT_ROWS
     if step:  # an even share of the rows, alike on every run
         df = df.where(F.pmod(F.xxhash64("_rid"), F.lit(step + 1)) == 0)
-    return [(r.x, r.y) for r in df.orderBy("_rid").limit(2 * SPLIT_ROWS).collect()]
+    rows = df.orderBy("_rid").limit(2 * SPLIT_ROWS).collect()
+    keep = lambda v: v if v and (s := v.strip()) and s.lower() not in V.MISSING_TOKENS else None
+    return {k: [keep(r[f"c{k}"]) for r in rows] for k in columns}
 
 
 @check(21)

@@ -24,6 +24,19 @@ def kind_of(t: T.DataType) -> str:
     return "text"
 
 
+#: Bytes up to which a table in few files is dealt over all cores first; larger ones are split by their scans.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that lies in fewer files than there are cores, over all cores; row numbers are made before."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not 0 < len(df.inputFiles()) <= cores // 2:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size) <= SPREAD_BYTES else df
+
+
 class Table:
     """A DataFrame at the boundary: columns c0, c1, ... and _rid; float NaN is null, nested values are JSON text."""
 
@@ -45,7 +58,10 @@ class Table:
             elif self.kinds[i] == "text" and not isinstance(t, T.StringType):
                 c = c.cast("string")
             columns.append(c.alias(f"c{i}"))
-        self.df = flat.select(*columns, F.monotonically_increasing_id().alias("_rid"))
+        #: Rows in the order of the scan; df may hold them dealt anew.
+        self.first = flat.select(*columns, F.monotonically_increasing_id().alias("_rid"))
+        self.df = spread(self.first)
+        self.dealt = self.df is not self.first
 
     @cached_property
     def rows(self) -> int:
@@ -72,5 +88,5 @@ class Table:
         texts = self.of_kind("text")
         if not texts:
             return set()
-        seen = self.df.select(*(f"c{i}" for i in texts)).limit(LOOK).agg(*(F.avg(F.length(f"c{i}")).alias(f"c{i}") for i in texts)).first()
+        seen = self.first.select(*(F.left(f"c{i}", F.lit(4 * LONG)).alias(f"c{i}") for i in texts)).limit(LOOK).agg(*(F.avg(F.length(f"c{i}")).alias(f"c{i}") for i in texts)).first()
         return {i for i in texts if (seen[f"c{i}"] or 0) >= LONG}

@@ -9,7 +9,7 @@ are made only for columns where a check's outcome depends on them.
 
 from __future__ import annotations
 
-from functools import cached_property
+import threading
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -21,11 +21,29 @@ from ..functions import vocab as V
 from .boundary import Table
 
 #: Rows up to which medians come from one exact aggregation; above, brackets are narrowed first.
-MEDIAN_ROWS = 5_000_000
+MEDIAN_ROWS = 2_000_000
+#: Value counts of a column that the driver orders at last.
+MEDIAN_VALUES = 50_000
 SAMPLES = 3
 SAMPLE_CHARS = 40
 
 
+class shared:
+    """A property made once, by one thread; checks that run side by side wait for it."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __set_name__(self, owner, name):
+        self.name = name
+
+    def __get__(self, of, owner=None):
+        with of.lock:
+            if self.name not in of.__dict__:
+                of.__dict__[self.name] = self.make(of)
+            return of.__dict__[self.name]
+
+
 def _each(table: Table, columns: list[int], *fields) -> DataFrame:
     """A row per cell of some columns: k, and fields made from the cell by functions of (column, place)."""
     cells = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), *(f(F.col(f"c{i}"), i) for f in fields)) for i in columns)))
@@ -35,7 +53,10 @@ def _each(table: Table, columns: list[int], *fields) -> DataFrame:
 class Measures:
     def __init__(self, table: Table):
         self.table = table
+        self.lock = threading.RLock()
         self._kept: list[DataFrame] = []
+        if table.dealt:  # small, and read by many passes
+            self.keep(table.df)
 
     def keep(self, df: DataFrame) -> DataFrame:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -49,7 +70,7 @@ class Measures:
 
     # --- text -------------------------------------------------------------------------------
 
-    @cached_property
+    @shared
     def dictionary(self) -> DataFrame | None:
         """k, v, n, first (row), and the labels of v; for long texts a row each, with v cut after the labels are made."""
         texts, long_ = self.table.of_kind("text"), self.table.long_texts
@@ -76,8 +97,8 @@ class Measures:
                 "leading": F.when(digits, v.rlike(V.LEADING_NUMBER)).otherwise(False),
                 "plain_bare": F.when(F.col("digit"), F.replace(v, F.lit(","), F.lit("")).rlike(V.PLAIN_NUMBER)).otherwise(False),
                 "sentinel_date": F.col("t").isin(*V.SENTINEL_DATES),
-                "dirty": F.col("is_text") & v.rlike(X.DAMAGE),
-                "moji": F.col("is_text") & v.rlike("|".join(V.MOJIBAKE)),
+                "dirty": F.col("is_text") & X.damaged(v),
+                "moji": F.col("is_text") & ~X.is_ascii(v) & v.rlike("|".join(V.MOJIBAKE)),
                 "rollup": F.col("is_text") & F.lower(v).rlike(V.ROLLUP),
                 "latlon": digits & v.rlike(V.LATLON),
                 "json": F.col("present") & (F.length("t") >= 2) & F.substring("t", 1, 1).isin("[", "{") & F.substring("t", -1, 1).isin("]", "}"),
@@ -89,7 +110,7 @@ class Measures:
         cut = F.col("k").isin(*sorted(long_)) if long_ else F.lit(False)
         return self.keep(df.withColumns({"v": F.when(cut, F.left(v, F.lit(256))).otherwise(v), "t": F.left("t", F.lit(256))}))
 
-    @cached_property
+    @shared
     def text(self) -> dict[int, dict]:
         """All counts of every text column."""
         if self.dictionary is None:
@@ -124,7 +145,7 @@ class Measures:
         none = {name: 0 for name in measures} | {"distinct": 0, "distinct_text": 0, "distinct_present": 0}
         return {k: out.get(k, {"k": k} | none) for k in self.table.of_kind("text")}
 
-    @cached_property
+    @shared
     def _text_distinct(self) -> dict[int, dict]:
         """Distinct values, distinct non-blank values and distinct present values of every text column."""
         long_ = self.table.long_texts
@@ -134,7 +155,7 @@ class Measures:
             df = df.where(~F.col("k").isin(*long_)).unionByName(df.where(F.col("k").isin(*long_)).distinct())
         return {r.k: r.asDict() for r in df.groupBy("k").agg(*counts(None)).collect()}
 
-    @cached_property
+    @shared
     def text_samples(self) -> dict[tuple[int, str], list[str]]:
         """The first distinct values of every column that carry a label, in order of their first row."""
         if self.dictionary is None:
@@ -159,25 +180,32 @@ class Measures:
             out.setdefault(r.k, []).append(r.w)
         return out
 
-    def folds(self, columns: list[int]) -> DataFrame:
-        """k, fold, n, first, original (the spelling that came first), spellings: of the present values of some columns."""
+    def folds(self, columns: list[int], strings: bool = False) -> DataFrame:
+        """k, fold_hash, n, first, spellings of the present values of some columns; with strings also fold and original, the first spelling.
+
+        Without strings every aggregate is numeric, so the group-by hashes and never sorts text.
+        """
         foreign = any(self.text[k]["foreign"] for k in columns)
         fold = X.folded_any if foreign else X.folded
         short = [k for k in columns if k not in self.table.long_texts]
         long_ = [k for k in columns if k in self.table.long_texts]
-        df = self.dictionary.where("present").select("k", "v", "n", "first") if short else None
+        df = self.dictionary.where("present").select("k", "v", "n", "first", "dirty") if short else None
         df = df.where(F.col("k").isin(*short)) if short else None
         if long_:
-            own = _each(self.table, long_, lambda c, i: c.alias("v")).select("k", "v", F.lit(1).cast("long").alias("n"), F.col("_rid").alias("first"))
+            own = _each(self.table, long_, lambda c, i: c.alias("v")).select("k", "v", F.lit(1).cast("long").alias("n"), F.col("_rid").alias("first"), F.lit(True).alias("dirty"))
             stripped = X.trimmed(F.col("v"))
             own = own.where(F.col("v").isNotNull() & (stripped != "") & ~X.is_token(stripped))
             df = own if df is None else df.unionByName(own)
-        folded = df.withColumn("fold", fold(F.col("v"))).withColumn("v", F.left("v", F.lit(256)))
-        return folded.groupBy("k", F.xxhash64("fold").alias("fold_hash")).agg(F.first("fold").alias("fold"), F.sum("n").alias("n"), F.min("first").alias("first"), F.min_by("v", "first").alias("original"), F.count("*").alias("spellings"))
+        v = F.col("v")
+        tidy = fold(v) if foreign else F.lower(F.when(F.col("dirty"), X.collapsed(v)).otherwise(v))
+        df = df.withColumn("fold", tidy)
+        group = df.groupBy("k", F.xxhash64("fold").alias("fold_hash"))
+        counts = [F.sum("n").alias("n"), F.min("first").alias("first"), F.count("*").alias("spellings")]
+        return group.agg(*counts, F.min("fold").alias("fold"), F.min_by(F.left("v", F.lit(256)), "first").alias("original")) if strings else group.agg(*counts)
 
     # --- other columns ----------------------------------------------------------------------
 
-    @cached_property
+    @shared
     def plain(self) -> dict[int, dict]:
         """Counts, range, sentinels and an approximate distinct count of every column that is not text."""
         columns = self.table.of_kind("number", "bool", "time")
@@ -208,7 +236,7 @@ class Measures:
         """Distinct values of a column, exact for text, else by a sketch."""
         return self.text[k]["distinct"] if self.table.kinds[k] == "text" else self.plain[k]["about"]
 
-    @cached_property
+    @shared
     def exact(self) -> dict[int, dict]:
         """Exact distinct counts, and the count of the most common value but the top sentinel, where an outcome may hang on them."""
         rows = self.table.rows
@@ -254,9 +282,9 @@ class Measures:
         cells = _each(self.table, sorted(shifted), value).where("x is not null").select("k", "x")
         if self.table.rows <= MEDIAN_ROWS:
             return {r.k: r.m for r in cells.groupBy("k").agg(F.percentile("x", F.lit(0.5)).alias("m")).collect()}
-        return exact_medians(cells, MEDIAN_ROWS)
+        return exact_medians(cells, MEDIAN_VALUES)
 
-    @cached_property
+    @shared
     def center(self) -> dict[int, tuple[float, float]]:
         """Median and median absolute deviation of the number columns that can have outliers."""
         columns = [k for k in self.table.of_kind("number") if self.plain[k]["values"] >= 20 and self.distinct(k) >= 5]
@@ -266,44 +294,57 @@ class Measures:
 
 
 def exact_medians(cells: DataFrame, most: int) -> dict[int, float]:
-    """Exact medians of (k, x) by narrowing: sketches bracket the middle ranks, and only the bracket's value counts are ordered.
+    """Exact medians of (k, x) by narrowing: sketches bracket the middle ranks, and only a bracket's value counts are ordered.
 
-    Each round reads the data once and keeps a few thousandths of it, so no task ever holds a column.
+    A round reads the data twice and keeps about a hundredth, for all columns at once; the driver gets
+    at most ``most`` value counts a column, and no task ever holds a column.
     """
     n = {r.k: r.n for r in cells.groupBy("k").agg(F.count("*").alias("n")).collect()}
-    low, high = {k: float("-inf") for k in n}, {k: float("inf") for k in n}
-    below = dict.fromkeys(n, 0)
-    done: dict[int, float] = {}
-    while len(done) < len(n):
-        open_ = [k for k in n if k not in done]
-        pick = lambda bounds: F.create_map(*(y for k in open_ for y in (F.lit(k), F.lit(bounds[k]))))[F.col("k")]  # noqa: E731,B023
-        inside = cells.where(F.col("k").isin(*open_)).where((F.col("x") >= pick(low)) & (F.col("x") <= pick(high)))
-        counts = inside.groupBy("k", "x").agg(F.count("*").alias("n"))
-        sizes = {r.k: (r.d, r.lo, r.hi) for r in counts.groupBy("k").agg(F.count("*").alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
-        small = [k for k in open_ if sizes[k][0] <= max(10, most // max(1, 50 * len(n)))]
-        for k in small:
-            rank, got = below[k], []
-            want = ((n[k] - 1) // 2, n[k] // 2)
-            for r in counts.where(F.col("k") == k).orderBy("x").collect():
-                got += [r.x] * sum(rank <= w < rank + r.n for w in want)
-                rank += r.n
-            done[k] = sum(got) / 2
+    low, high, below = dict.fromkeys(n, float("-inf")), dict.fromkeys(n, float("inf")), dict.fromkeys(n, 0)
+    size, done = dict(n), {}
+    while open_ := [k for k in n if k not in done]:
+        pick = lambda of: F.create_map(*(y for k in open_ for y in (F.lit(k), F.lit(of[k]))))[F.col("k")]  # noqa: E731,B023
+        inside = cells.where(F.col("k").isin(*open_) & (F.col("x") >= pick(low)) & (F.col("x") <= pick(high)))
+        small = [k for k in open_ if size[k] <= most or low[k] == high[k]]
+        if small:
+            counts: dict[int, list] = {k: [] for k in small}
+            for r in inside.where(F.col("k").isin(*small)).groupBy("k", "x").agg(F.count("*").alias("n")).collect():
+                counts[r.k].append((r.x, r.n))
+            for k in small:
+                rank, got = below[k], []
+                for x, times in sorted(counts[k]):
+                    got += [x] * sum(rank <= w < rank + times for w in ((n[k] - 1) // 2, n[k] // 2))
+                    rank += times
+                done[k] = sum(got) / 2
         wide = [k for k in open_ if k not in done]
         if not wide:
             break
-        size = {r.k: r.n for r in inside.groupBy("k").agg(F.count("*").alias("n")).collect()}
-        quantiles = []
-        for k in wide:
-            mid = (n[k] / 2 - below[k]) / size[k]
-            q = [max(0.0, mid - 0.004), min(1.0, mid + 0.004)]
-            quantiles.append((k, inside.where(F.col("k") == k).agg(F.percentile_approx("x", q, 2000)).first()[0]))
-        for k, (a, b) in quantiles:
-            at = inside.where(F.col("k") == k).agg(F.count_if(F.col("x") < a).alias("less"), F.count_if(F.col("x") <= b).alias("upto")).first()
-            lo_rank, hi_rank = (n[k] - 1) // 2, n[k] // 2
-            if below[k] + at.less <= lo_rank and hi_rank < below[k] + at.upto and (a, b) != (low[k], high[k]):
-                below[k], low[k], high[k] = below[k] + at.less, a, b
-            elif below[k] + at.less > lo_rank:
-                high[k] = a
-            else:
-                below[k], low[k] = below[k] + at.upto - inside.where((F.col("k") == k) & (F.col("x") == b)).count(), b
+        middle = {k: (n[k] / 2 - below[k]) / size[k] for k in wide}
+        # sketches take constant shares only: one grid for the middles of all columns
+        grid = sorted({min(1.0, max(0.0, middle[k] + s)) for k in wide for s in (-0.005, 0.005)})
+        marks = {r.k: r.q for r in inside.where(F.col("k").isin(*wide)).groupBy("k").agg(F.percentile_approx("x", grid, 2000).alias("q")).collect()}
+        a = {k: marks[k][grid.index(min(1.0, max(0.0, middle[k] - 0.005)))] for k in wide}
+        b = {k: marks[k][grid.index(min(1.0, max(0.0, middle[k] + 0.005)))] for k in wide}
+        at = lambda of: F.create_map(*(y for k in wide for y in (F.lit(k), F.lit(of[k]))))[F.col("k")]  # noqa: E731,B023
+        parts = inside.where(F.col("k").isin(*wide)).groupBy("k").agg(F.count_if(F.col("x") < at(a)).alias("less"), F.count_if(F.col("x") == at(a)).alias("first"), F.count_if(F.col("x") == at(b)).alias("last"), F.count_if(F.col("x") > at(b)).alias("more")).collect()
+        for r in parts:
+            k, lo, hi = r.k, (n[r.k] - 1) // 2, n[r.k] // 2
+            start, end = below[k] + r.less, below[k] + size[k] - r.more
+            if start <= lo and hi < end:  # the middle is in [a, b]
+                if start <= lo and hi < start + r.first:
+                    low[k] = high[k] = a[k]
+                    below[k], size[k] = start, r.first
+                elif end - r.last <= lo and hi < end:
+                    low[k] = high[k] = b[k]
+                    below[k], size[k] = end - r.last, r.last
+                elif end - start < size[k]:
+                    low[k], high[k], below[k], size[k] = a[k], b[k], start, end - start
+                else:  # nothing gained: order what there is
+                    most = max(most, size[k])
+            elif hi < start:
+                high[k], size[k] = a[k], r.less + r.first
+            elif lo >= end:
+                low[k], below[k], size[k] = b[k], end - r.last, r.last + r.more
+            else:  # the middle straddles an edge
+                most = max(most, size[k])
     return done

@@ -111,7 +111,7 @@ def test_skills_come_first_and_are_scored(spark, tmp_path, messy):
 
 def test_model_repairs_are_gated_verified_and_admitted(spark, tmp_path):
     p = tmp_path / "t.csv"
-    p.write_text("tag\n" + "".join(f"a{i}|b\n" for i in range(40)))
+    p.write_text("id,k,tag\n" + "".join(f"{i},x{i},a{i}|b\n" for i in range(40)))
     code = "from pyspark.sql import functions as F\ndef fix(df, columns):\n    return df.withColumns({c: F.regexp_replace(c, '[|]', ' ') for c in columns})"
     s = Session(tmp_path / "w", lambda m: f"<execute>{code}</execute>", allow_code=True, spark=spark)
     s.load(str(p))
