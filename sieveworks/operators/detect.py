@@ -49,8 +49,8 @@ def detect_all(df: DataFrame, name: str = "dataframe") -> Diagnosis:
     return out
 
 
-def detect_one(df: DataFrame, disease: int, columns: list[str] | None) -> Finding | None:
-    """One check again, on some columns: its first finding for exactly these columns. A break is raised.
+def check_columns(df: DataFrame, disease: int, columns: list[str] | None) -> list[Finding]:
+    """One check on some columns: all its findings. A break is raised.
 
     Columns that are all gone put every column in scope, so a dropped column is a cleared finding.
     """
@@ -58,7 +58,7 @@ def detect_one(df: DataFrame, disease: int, columns: list[str] | None) -> Findin
         raise ValueError(f"{disease} is no check of a single table; there are {sorted(CHECKS)}")
     table = Table(df)
     if not table.width or not table.rows:
-        return None
+        return []
     scope = table.places(columns) or list(range(table.width))
     if disease in BY_COLUMN and len(scope) < table.width:
         cut = df.toDF(*(f"c{i}" for i in range(table.width))).select(*(f"c{i}" for i in scope)).toDF(*(table.names[i] for i in scope))
@@ -67,7 +67,11 @@ def detect_one(df: DataFrame, disease: int, columns: list[str] | None) -> Findin
         scope = list(range(table.width))
     m = Measures(table)
     try:
-        found = CHECKS[disease](m, scope)
+        return CHECKS[disease](m, scope)
     finally:
         m.release()
-    return next((f for f in found if f.columns == [str(c) for c in columns or ()]), None)
+
+
+def detect_one(df: DataFrame, disease: int, columns: list[str] | None) -> Finding | None:
+    """One check again, on some columns: its first finding for exactly these columns."""
+    return next((f for f in check_columns(df, disease, columns) if f.columns == [str(c) for c in columns or ()]), None)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..findings import AUTO, Finding, plain
 from ..functions import text as X
 from ..functions import vocab as V
-from .detect import detect_all, detect_one
-from .verify import baseline
+from .detect import check_columns, detect_all
+from .verify import Baseline, baseline
 
 Fix = Callable[[DataFrame, list[str]], DataFrame]
 #: The order of repairs: tokens and spaces before types, dropped columns last.
@@ -111,22 +111,70 @@ def slim(f: Finding, **more) -> dict:
     return {"disease": f.disease, "slug": f.slug, "columns": f.columns, "grade": f.grade, **more}
 
 
-def problem(before: DataFrame, after: DataFrame, f: Finding) -> str | None:
-    """Why a repair must not be kept; None if it may."""
-    if detect_one(after, f.disease, f.columns) is not None:
-        return "fix did not clear verification"
-    old, new = baseline(before), baseline(after)
-    if old.rows != new.rows:
-        return f"row count changed from {old.rows} to {new.rows}"
-    moved = [c for c in old.hashes if c not in f.columns and old.hashes[c] != new.hashes.get(c)]
-    if moved:
-        return f"other columns changed: {', '.join(moved)}"
-    if f.disease in (1, 2, 6, 7):
-        lost = before.agg(*(F.count_if(present(quoted(c))).alias(c) for c in f.columns)).first().asDict()
-        kept = after.agg(*(F.count(quoted(c)).alias(c) for c in f.columns)).first().asDict()
-        if f.disease in (1, 2) and any(kept[c] < lost[c] for c in f.columns):
-            return "fix lost values"
-    return None
+def repaired(df: DataFrame, f: Finding) -> DataFrame:
+    more = {"family": f.stats["family"]} if f.disease == 2 else {}
+    return FIXES[f.disease](df, f.columns, **more)
+
+
+def attempt(df: DataFrame, before: Baseline, findings: list[Finding]) -> tuple[DataFrame, Baseline, dict[int, str]]:
+    """Repairs of one check, tried together: the table with those that hold, its baseline, and why others do not (by place).
+
+    Each repair touches its own columns, so one run of the check, one baseline and one count of values
+    verify all of them. Should anything else have moved, they are tried one by one to find the culprit.
+    """
+    why: dict[int, str] = {}
+    after = df
+    for i, f in enumerate(findings):
+        try:
+            after = repaired(after, f)
+        except Exception as e:  # noqa: BLE001 - a repair that breaks is reported
+            why[i] = f"fixer error: {e}"
+    tried = [f for i, f in enumerate(findings) if i not in why]
+    if not tried:
+        return df, before, why
+    disease, columns = findings[0].disease, [c for f in tried for c in f.columns]
+    try:
+        firing = {tuple(f.columns) for f in check_columns(after.drop("__row"), disease, columns)}
+        new = baseline(after)
+        counts = lost(df, after, columns) if disease in (1, 2) else set()
+    except Exception as e:  # noqa: BLE001 - what cannot be checked is not verified
+        if len(tried) > 1:
+            return one_by_one(df, before, findings)
+        return df, before, why | {i: f"fixer error: {e}" for i in range(len(findings)) if i not in why}
+    moved = [c for c in before.hashes if c not in columns and before.hashes[c] != new.hashes.get(c)]
+    if before.rows != new.rows or moved:
+        if len(tried) > 1:
+            return one_by_one(df, before, findings)
+        said = f"row count changed from {before.rows} to {new.rows}" if before.rows != new.rows else f"other columns changed: {', '.join(moved)}"
+        return df, before, why | {i: said for i in range(len(findings)) if i not in why}
+    for i, f in enumerate(findings):
+        if i not in why and tuple(f.columns) in firing:
+            why[i] = "fix did not clear verification"
+        elif i not in why and counts & set(f.columns):
+            why[i] = "fix lost values"
+    held = [f for i, f in enumerate(findings) if i not in why]
+    if len(held) < len(tried):
+        after = df
+        for f in held:
+            after = repaired(after, f)
+        dropped = {c for f in tried if f not in held for c in f.columns}
+        new = Baseline(new.rows, {c: before.hashes[c] if c in dropped else h for c, h in (before.hashes | new.hashes).items() if c in after.columns})
+    return after, new, why
+
+
+def one_by_one(df: DataFrame, before: Baseline, findings: list[Finding]) -> tuple[DataFrame, Baseline, dict[int, str]]:
+    why: dict[int, str] = {}
+    for i, f in enumerate(findings):
+        df, before, said = attempt(df, before, [f])
+        why |= {i: x for x in said.values()}
+    return df, before, why
+
+
+def lost(before: DataFrame, after: DataFrame, columns: list[str]) -> set[str]:
+    """Columns that hold fewer values than the present ones they had."""
+    count = lambda df, of: df.agg(*(F.count_if(of(quoted(c))).alias(f"n{i}") for i, c in enumerate(columns))).first()
+    old, new = count(before, present), count(after, lambda c: c.isNotNull())
+    return {c for i, c in enumerate(columns) if new[i] < old[i]}
 
 
 class CleanSummary:
@@ -228,18 +276,13 @@ def clean(data, policy: str = "auto") -> tuple[DataFrame, CleanSummary]:
     start = df.withColumn("__row", F.monotonically_increasing_id())
     working, applied, review = start, [], []
     todo = [f for f in findings if f.grade == AUTO and f.disease in FIXES]
-    for f in sorted(todo, key=lambda f: ORDER.index(f.disease)):
-        try:
-            family = {"family": f.stats["family"]} if f.disease == 2 else {}
-            candidate = FIXES[f.disease](working, f.columns, **family)
-            why = problem(working.drop("__row"), candidate.drop("__row"), f)
-        except Exception as e:  # noqa: BLE001 - a repair that breaks is reported
-            why = f"fixer error: {e}"
-        if why is None:
-            working = candidate
-            applied.append(slim(f))
-        else:
-            review.append(slim(f, reason=why))
+    state = baseline(start) if todo else None
+    for disease in ORDER:
+        own = [f for f in todo if f.disease == disease]
+        if own:
+            working, state, why = attempt(working, state, own)
+            applied += [slim(f) for i, f in enumerate(own) if i not in why]
+            review += [slim(f, reason=why[i]) for i, f in enumerate(own) if i in why]
     seen = {(x["disease"], tuple(x["columns"])) for x in (*applied, *review)}
     review += [slim(f) for f in findings if (f.disease, tuple(f.columns)) not in seen]
     return working.drop("__row"), CleanSummary(start, working, applied, review)

@@ -30,11 +30,13 @@ SPREAD_BYTES = 256 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """A small table that lies in fewer files than there are cores, over all cores; row numbers are made before."""
+    jdf = getattr(df, "_jdf", None)
+    if jdf is None:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if not 0 < len(df.inputFiles()) <= cores // 2:
+    if not 0 < len(jdf.inputFiles()) <= cores // 2:
         return df
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(size) <= SPREAD_BYTES else df
+    return df.repartition(cores) if int(jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SPREAD_BYTES else df
 
 
 class Table:
