@@ -216,7 +216,7 @@ def read_sql(source: Any, query: str | None = None, spark: SparkSession | None =
         if scheme == "sqlite":
             import sqlite3
 
-            with sqlite3.connect(source.split("://", 1)[1].removeprefix("/") if source.count("/") < 4 else source.split("://", 1)[1][1:]) as connection:
+            with sqlite3.connect(source.split(":///", 1)[1]) as connection:  # sqlite:///relative or sqlite:////absolute
                 return read_sql(connection, query, spark)
         return spark.read.format("jdbc").options(url="jdbc:" + source.replace(f"{source.split('://')[0]}://", f"{scheme}://"), query=query, **jdbc).load()
     cursor = source.cursor()

@@ -81,6 +81,7 @@ def test_sql(spark, tmp_path):
         assert rows(sieveworks.read(c, query="select a from t order by a")) == [(1,), (2,)]
         with pytest.raises(ValueError):
             sieveworks.read(c)
+    assert rows(sieveworks.read(f"sqlite:///{tmp_path}/d.db", query="select count(*) as n from t")) == [(2,)]
 
 
 def test_urls(spark, tmp_path):
