@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: White space that separates words in all operators: space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,6 +78,20 @@ def bucket_of(column: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column, F.lit("bucket")), F.lit(buckets)).cast("int")
 
 
+def sums_before(cells: DataFrame, keys: list[str], order: str, value: str, block: int) -> DataFrame:
+    """keys, order and before: the sum of value over all smaller orders of the same keys.
+
+    Orders are summed in blocks first, so a task sees the blocks of a key, or the orders of a block,
+    but never all orders of a key.
+    """
+    cells = cells.withColumn("_block", F.floor(F.col(order) / block).cast("int"))
+    earlier = lambda *by: Window.partitionBy(*by)
+    up_to = lambda w, by: F.coalesce(F.sum(value).over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = cells.groupBy(*keys, "_block").agg(F.sum(value).alias(value)).select(*keys, "_block", up_to(earlier(*keys), "_block").alias("_whole"))
+    within = cells.select(*keys, "_block", order, up_to(earlier(*keys, "_block"), order).alias("_part"))
+    return within.join(blocks, [*keys, "_block"]).select(*keys, order, (F.col("_whole") + F.col("_part")).alias("before"))
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator reads, as doc_id and text; a null text is empty."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, table
+from .common import WORD, Scratch, sums_before, table
 
 WEIGHTS = (3, 1, 2)
 #: Slopes of the densities, in turn as the weights: the first come early, the second late.
@@ -37,7 +37,6 @@ SLOPES = (-0.5, 0.5, 0.0)
 SHARE = Fraction(3, 2)
 MOST = 2
 MAX_SOURCES = 100_000
-RANGES = 65_536
 
 
 def targets(sizes: Sequence[int], weights: Sequence[int], share: Fraction = SHARE, most: int = MOST) -> list[Fraction]:
@@ -71,8 +70,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sums))], share, most)
     plan = [(r.key, r.words, float(g), int(g // n) if (n := r.words) else 0, float(g - g // n * n) if n else 0.0, float(slopes[i % len(slopes)])) for i, (r, g) in enumerate(zip(sums, goals))]
     plan_df = spark.createDataFrame(plan, "key string, source_size long, target double, whole int, rest double, slope double")
-    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("key", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
+    offsets = sums_before(cells, ["key"], "range", "words", 256).withColumnRenamed("before", "offset")
     within = Window.partitionBy("key", "range").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     # a broadcast with a proven bound: a row for each of at most MAX_SOURCES sources
     placed = rows.join(offsets, ["key", "range"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))).join(F.broadcast(plan_df), "key")
