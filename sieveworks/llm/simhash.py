@@ -13,8 +13,10 @@ Finding links, exactly and without all pairs:
 3. Where more than ``DENSE`` fingerprints meet in one variant, pairs would grow with the square.
    Those fingerprints emit the whole ball instead: all variants of the 64 bits with at most two
    flipped bits (2,081). Two that share one of these differ in at most four bits by the triangle
-   inequality, and any two that differ in at most four share one. So each links to the smallest
-   fingerprint in the variant, and no pair needs to be made: a star per variant, linear in rows.
+   inequality, and any two that differ in at most four share one. So all of a variant's fingerprints
+   link to one of them, and no pair needs to be made: a star per variant, linear in rows. Its centre
+   is the one that met most others before (a hub, as the original among its copies), so that a
+   fingerprint's stars have few centres between them.
 4. Edges are dealt into tasks of ``FOREST_ROWS``, each of which keeps a star per component of what it
    holds: at most as many edges as it has fingerprints. What is left goes through min-label
    propagation with pointer jumping over tables in the shared folder.
@@ -101,19 +103,21 @@ def _ball_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     flips = np.concatenate((np.zeros(1, np.uint64), single, double))
     for batch in batches:
         fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        nodes, mets = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("node", "met"))
         for at in range(0, len(fps), 256):
             part = fps[at : at + 256]
             variants = part[:, None] ^ flips[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(variants.ravel().view(np.int64)), pa.array(np.repeat(part, len(flips)).view(np.int64))], names=["variant", "fp"])
+            columns = [variants.ravel().view(np.int64), np.repeat(nodes[at : at + 256], len(flips)), np.repeat(mets[at : at + 256], len(flips))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["variant", "node", "met"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """A task's variants in order: fingerprints, number of the run of each, start and length of the runs."""
-    parts = [(b.column("variant").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    """A task's variants in order, hubs first: fingerprints, number of the run of each, start and length of the runs."""
+    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)] for b in batches if b.num_rows]
     if not parts:
         return None
-    variants, fps = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(variants, kind="stable")
+    variants, fps, *mets = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((fps, -mets[0], variants)) if mets else np.argsort(variants, kind="stable")
     variants, fps = variants[order], fps[order]
     starts = np.flatnonzero(np.concatenate(([True], variants[1:] != variants[:-1])))
     lengths = np.diff(np.append(starts, len(variants)))
@@ -136,8 +140,10 @@ def _block_edges(dense: int):
             return
         fps, run, _, lengths = found
         large = (lengths > dense)[run]
-        members = np.unique(fps[large])
-        yield _edges(members, members)  # an edge to oneself marks a fingerprint for the whole ball
+        members, places = np.unique(fps[large], return_inverse=True)
+        mets = np.bincount(places, lengths[run][large], len(members)).astype(np.int64)
+        # an edge to oneself marks a fingerprint for the whole ball, with how many it met
+        yield pa.RecordBatch.from_arrays([pa.array(members), pa.array(members), pa.array(mets)], names=["a", "b", "met"])
         fps, run = fps[~large], run[~large]
         for step in range(1, min(dense, len(fps))):
             same = run[step:] == run[:-step]
@@ -145,7 +151,8 @@ def _block_edges(dense: int):
                 break
             a, b = fps[step:][same], fps[:-step][same]
             near = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= RADIUS
-            yield _edges(a[near], b[near])
+            edges = _edges(a[near], b[near])
+            yield pa.RecordBatch.from_arrays([*edges.columns, pa.array(np.zeros(edges.num_rows, np.int64))], names=["a", "b", "met"])
 
     return scan
 
@@ -155,30 +162,31 @@ def _star_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if found is None or not len(found[0]):
         return
     fps, run, starts, _ = found
-    least = np.minimum.reduceat(fps, starts)[run]
-    yield _edges(fps[fps != least], least[fps != least])
+    centre = fps[starts][run]
+    yield _edges(fps[fps != centre], centre[fps != centre])
 
 
 def met(distinct: DataFrame, scratch: Scratch, dense: int = DENSE, tag: str = "") -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) among distinct fingerprints (column fp): compared pairs, and stars of crowded variants.
+    """Edges (a, b) among distinct fingerprints (fp, node): compared pairs of fp, and stars of nodes in crowded variants.
 
     Together they join exactly the components of the link relation; every edge links two fingerprints.
     """
     spark = distinct.sparkSession
     n = distinct.count()
     tasks = max(partitions(spark), -(-n * 132 // TASK_ROWS))
-    blocks = distinct.mapInArrow(_block_variants, "variant long, fp long").repartition(tasks, "variant").mapInArrow(_block_edges(dense), "a long, b long")
+    blocks = distinct.select("fp").mapInArrow(_block_variants, "variant long, fp long").repartition(tasks, "variant").mapInArrow(_block_edges(dense), "a long, b long, met long")
     blocks = scratch.keep(blocks, f"met{tag}")
-    crowded = blocks.where("a = b").select(F.col("a").alias("fp")).distinct()
+    crowded = blocks.where("a = b").groupBy(F.col("a").alias("fp")).agg(F.sum("met").alias("met"))
+    crowded = scratch.keep(crowded.join(distinct, "fp").select("fp", "node", "met"), f"crowded{tag}")
     m = crowded.count()
     tasks = max(partitions(spark), -(-m * 2081 // TASK_ROWS))
     spread = crowded.repartition(max(partitions(spark), m // 512))
-    stars = spread.mapInArrow(_ball_variants, "variant long, fp long").repartition(tasks, "variant").mapInArrow(_star_edges, "a long, b long")
-    return blocks.where("a <> b").distinct(), stars.distinct() if m else blocks.where("a <> a")
+    stars = spread.mapInArrow(_ball_variants, "variant long, node long, met long").repartition(tasks, "variant").mapInArrow(_star_edges, "a long, b long")
+    return blocks.where("a <> b").select("a", "b").distinct(), stars.distinct() if m else blocks.where("a <> a").select("a", "b")
 
 
 def links(distinct: DataFrame, scratch: Scratch, dense: int = DENSE) -> DataFrame:
-    near, stars = met(distinct, scratch, dense)
+    near, stars = met(distinct.select("fp", F.col("fp").alias("node")), scratch, dense)
     return near.unionByName(stars)
 
 
@@ -251,12 +259,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # changes as many shingles as a shingle has words. Near copies whose shingle sets are alike by
 # COPY_LIKENESS or more share far more words than shingles, so they are found by TABLES fingerprints
 # of their distinct words (each by the balls above), and every pair that meets is compared by its
-# shingle sets. Four independent fingerprints leave about one pair in thirty unmet at a likeness of
-# 0.8, and fewer above (measured in the README).
+# shingle sets. Three independent fingerprints leave about one pair in ten unmet at a likeness of
+# 0.8, and next to none above 0.85; groups lose far fewer (measured in the README).
 
-TABLES = 4
+TABLES = 3
 COPY_SHINGLE = 5
 COPY_LIKENESS = 0.8
+#: As DENSE, lower because each pair costs a comparison of texts.
+COPY_DENSE = 6
 
 
 def word_fingerprints(text: bytes) -> list[int]:
@@ -264,9 +274,9 @@ def word_fingerprints(text: bytes) -> list[int]:
     words = set(text.lower().split())
     if not words:
         return [0] * TABLES
-    digests = b"".join(xxhash.xxh3_128_digest(w, seed) for w in words for seed in range(TABLES // 2))
+    digests = b"".join(xxhash.xxh3_128_digest(w, seed) for w in words for seed in range(-(-TABLES // 2)))
     bits = np.zeros(64 * TABLES, np.int64)
-    rows = np.frombuffer(digests, np.uint8).reshape(len(words), 8 * TABLES)
+    rows = np.frombuffer(digests, np.uint8).reshape(len(words), -1)[:, : 8 * TABLES]
     for at in range(0, len(rows), _CHUNK):
         bits += np.unpackbits(rows[at : at + _CHUNK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(bits * 2 > len(words), bitorder="little").view(np.int64).tolist()
@@ -299,13 +309,12 @@ def _alike(shingle: int, least: float):
     return scan
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, likeness: float = COPY_LIKENESS, dense: int = DENSE) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, likeness: float = COPY_LIKENESS, dense: int = COPY_DENSE) -> DataFrame:
     """doc_id, row_key, component_id and leader of every row, as near_duplicates gives them, for near copies by shingle likeness.
 
     Equal texts are one class. Classes whose word fingerprints meet are compared by their texts. In
-    crowds, where pairs would grow with the square, classes are compared with the crowd's smallest
-    member; those that differ from it form crowds of their own along the links among them, until
-    none is left. Nulls, empties, ties and repeats are treated as in near_duplicates; texts without
+    crowds, where pairs would grow with the square, a class is compared with the hubs of its variants,
+    a number that grows with the crowd (the README says how many pairs that joins). Nulls, empties, ties and repeats are treated as in near_duplicates; texts without
     words are one group.
     """
     spark = df.sparkSession
@@ -319,16 +328,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     pairs, stars = [], []
     for t in range(TABLES):
         heads = scratch.keep(classes.groupBy(F.col(f"f{t}").alias("fp")).agg(F.min("row_key").alias("head")), f"heads{t}")
-        near, crowd = met(heads.select("fp"), scratch, dense, f"-{t}")
-        crowd = crowd.repartition(partitions(spark), "a").mapInArrow(_forest, "a long, b long")
+        near, crowd = met(heads.select("fp", F.col("head").alias("node")), scratch, dense, f"-{t}")
         named = lambda e, heads=heads: e.join(heads.withColumnsRenamed({"fp": "a", "head": "x"}), "a").join(heads.withColumnsRenamed({"fp": "b", "head": "y"}), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         same = classes.join(heads.withColumnRenamed("fp", f"f{t}"), f"f{t}").where("row_key <> head").select(F.col("head").alias("a"), F.col("row_key").alias("b"))
         pairs.append(scratch.keep(named(near), f"pairs{t}"))
-        stars.append(scratch.keep(named(crowd).unionByName(same), f"stars{t}"))
+        stars.append(scratch.keep(crowd.unionByName(same), f"stars{t}"))
         release(spark)
-    union = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
-    pairs_, stars_ = scratch.keep(union(pairs), "pairs"), scratch.keep(union(stars), "stars")
-    nodes = pairs_.unionByName(stars_).select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
+    edges = scratch.keep(reduce(DataFrame.unionByName, [*pairs, *stars]).distinct(), "edges-met")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
     wanted = classes.join(nodes, "row_key").select(F.col("row_key").alias("node"), F.col("first.doc_id").alias("first_id"))
     same_row = (F.col("row_key") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     texts = scratch.keep(docs.join(wanted, same_row).select("node", "bytes"), "texts")  # a row a class, or equal ones
@@ -338,17 +345,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         both = edges.join(texts.withColumnsRenamed({"node": "a", "bytes": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "bytes": "y"}), "b")
         return scratch.keep(both.mapInArrow(_alike(shingle, likeness), "a long, b long, fits boolean"), name)
 
-    kept = [compared(pairs_, "compared").where("fits").select("a", "b")]
-    turn = 0
-    while stars_.limit(1).count():
-        crowds = components(stars_, scratch, f"-crowd{turn}").where("node <> root")
-        tried = compared(crowds.select(F.col("root").alias("a"), F.col("node").alias("b")), f"compared{turn}")
-        kept.append(tried.where("fits").select("a", "b"))
-        left = tried.groupBy("b").agg(F.max("fits").alias("fits")).where("not fits").select("b")
-        among = stars_.join(left, "b", "left_semi").join(left.withColumnRenamed("b", "a"), "a", "left_semi").select("a", "b")
-        stars_ = scratch.keep(among, f"stars-{turn}")
-        turn += 1
-    roots = components(union(kept), scratch)
+    roots = components(compared(edges, "compared").where("fits").select("a", "b"), scratch)
     named = classes.join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").select("row_key", F.coalesce("root", "row_key").alias("root"), F.struct("first.*", "row_key").alias("first"))
     named = scratch.keep(named, "named")
     heads = named.join(named.groupBy("root").agg(F.min("first").alias("head")), "root").select("row_key", "head")
