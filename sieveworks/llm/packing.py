@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, bounded_batches, bucket_of, id_and_text, table
+from .common import Scratch, bounded_batches, bucket_of, id_and_text, sums_before, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -53,10 +53,16 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     if path in _ENCODERS:
         return _ENCODERS[path]
     import tiktoken
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    plain = lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+    whole: list = []  # the tokenizer itself, loaded only when a text needs it
+
+    def plain(texts: list[str]) -> list[list[int]]:
+        from tokenizers import Tokenizer
+
+        if not whole:
+            whole.append(Tokenizer.from_file(path))
+        return [e.ids for e in whole[0].encode_batch(texts, add_special_tokens=False)]
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre, letters = spec["model"], spec.get("pre_tokenizer") or {}, _byte_letters()
@@ -153,8 +159,7 @@ def packed(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     for length in counts:
         own = sorted(r[1:] for r in runs if r[0] == length)
         slots[length] = tuple(np.array(x, np.int64) for x in zip(*own))
-    before = Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("length", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    offsets = sums_before(cells, ["length"], "range", "n", 64).withColumnRenamed("before", "ahead")
     within = Window.partitionBy("length", "range").orderBy("doc_id", "row_key", "piece")
     ranked = cut.join(offsets, ["length", "range"]).withColumn("rank", F.col("ahead") + F.row_number().over(within) - 1)
 
