@@ -27,8 +27,8 @@ null id. A null text is empty; a text without words has fingerprint zero and lin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, id_and_text, partitions, release, table
+from .common import Scratch, bounded_batches, bucket_of, id_and_text, partitions, release, table
 
 #: Differing bits at which two fingerprints still link. The blocks and balls below are made for four.
 RADIUS = 4
@@ -255,31 +255,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # --- near copies by shared shingles ------------------------------------------------------------
 #
-# A shingle fingerprint of four differing bits finds texts that are all but equal: an edited word
-# changes as many shingles as a shingle has words. Near copies whose shingle sets are alike by
-# COPY_LIKENESS or more share far more words than shingles, so they are found by TABLES fingerprints
-# of their distinct words (each by the balls above), and every pair that meets is compared by its
-# shingle sets. Three independent fingerprints leave about one pair in ten unmet at a likeness of
-# 0.8, and next to none above 0.85; groups lose far fewer (measured in the README).
-
-TABLES = 3
+# Near copies are texts whose shingle sets have a Jaccard likeness of COPY_LIKENESS or more. All such
+# pairs are found by prefixes, under one order of all shingles: two sets of likeness t share at least
+# the part t of either, so the first shingle they share stands among the first (1 - t) n + 1 of each.
+#
+# 1. Common shingles, held by more than COPY_DENSE texts of a sample, come last in the order. Which
+#    ones the sample shows has no bearing on what is found: prefixes are exact under any order.
+# 2. Texts that meet in another shingle of their prefixes, and can still be alike by their sizes and
+#    places there, are compared.
+# 3. Texts with common shingles in their prefixes are crowds. A text is compared with the hub of each
+#    of its common shingles, and texts that are linked through hubs are one family. Then all texts of
+#    a family that are outside its largest group are compared with all of the family, in blocks.
+#    A pair that meets in a common shingle only is of one family, so none is left out.
+
 COPY_SHINGLE = 5
 COPY_LIKENESS = 0.8
-#: As DENSE, lower because each pair costs a comparison of texts.
+#: A shingle of more texts of the sample is common.
 COPY_DENSE = 6
-
-
-def word_fingerprints(text: bytes) -> list[int]:
-    """TABLES independent 64-bit fingerprints of a text's distinct words, as signed integers."""
-    words = set(text.lower().split())
-    if not words:
-        return [0] * TABLES
-    digests = b"".join(xxhash.xxh3_128_digest(w, seed) for w in words for seed in range(-(-TABLES // 2)))
-    bits = np.zeros(64 * TABLES, np.int64)
-    rows = np.frombuffer(digests, np.uint8).reshape(len(words), -1)[:, : 8 * TABLES]
-    for at in range(0, len(rows), _CHUNK):
-        bits += np.unpackbits(rows[at : at + _CHUNK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(bits * 2 > len(words), bitorder="little").view(np.int64).tolist()
+#: Texts that are looked at for common shingles, and common shingles that are kept, at most.
+SAMPLE_TEXTS = 20_000
+COMMON = 100_000
+#: Shingles on either side of a block of a family, on average.
+BLOCK_SHINGLES = 1_000_000
+_LOW = 1e-9  # products with a likeness may be above a whole number by rounding
 
 
 def shingle_likeness(a: bytes, b: bytes, shingle: int = COPY_SHINGLE) -> float:
@@ -293,11 +291,66 @@ def shingle_likeness(a: bytes, b: bytes, shingle: int = COPY_SHINGLE) -> float:
     return len(sets[0] & sets[1]) / union if union else 1.0
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [word_fingerprints(x.as_py()) for x in batch.column("bytes")]
-        columns = [pa.array([f[t] for f in found], pa.int64()) for t in range(TABLES)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *columns], names=["doc_id", "row_key", *(f"f{t}" for t in range(TABLES))])
+def shingle_hashes(text: bytes, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingle set in order; a text without words has the empty shingle."""
+    words = text.lower().split()
+    n = min(shingle, len(words))
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), SEED) for i in range(len(words) - n + 1)], np.uint64).view(np.int64))
+
+
+def _all_shingles(shingle: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(x.as_py(), shingle) for x in batch.column("bytes")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["token"])
+
+    return scan
+
+
+def _prefixes(shingle: int, likeness: float, common: np.ndarray):
+    """common: from the rarest to the most frequent."""
+    ranks = np.argsort(common, kind="stable")
+    known = common[ranks]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [[np.empty(0, x) for x in (np.int64, np.int64, np.int32, np.int32, np.bool_)]]
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("bytes")):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                n = len(hashes)
+                at = np.searchsorted(known, hashes)
+                often = known[np.minimum(at, len(known) - 1)] == hashes if len(known) else np.zeros(n, np.bool_)
+                last = hashes[often][np.argsort(ranks[at[often]])]
+                tokens = np.concatenate((hashes[~often], last))[: n - math.ceil(likeness * n - _LOW) + 1]
+                places = np.arange(len(tokens), dtype=np.int32)
+                parts.append([tokens, np.full(len(tokens), node), np.full(len(tokens), n, np.int32), places, places >= n - len(last)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["token", "node", "size", "place", "common"])
+
+    return scan
+
+
+def _prefix_pairs(likeness: float):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(x).to_numpy(zero_copy_only=False) for x in ("token", "node", "size", "place")] for b in batches if b.num_rows]
+        if not parts:
+            return
+        tokens, nodes, sizes, places = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.argsort(tokens, kind="stable")
+        tokens, nodes, sizes, places = tokens[order], nodes[order], sizes[order], places[order]
+        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        lengths = np.diff(np.append(starts, len(tokens)))
+        ends = np.repeat(starts + lengths, lengths)
+        at, step = np.arange(len(tokens)), 1
+        while len(at := at[at + step < ends[at]]):
+            for part in np.array_split(at, -(-len(at) // 1_000_000)):
+                to = part + step
+                shared = np.minimum(sizes[part] - places[part], sizes[to] - places[to])
+                near = (shared >= likeness / (1 + likeness) * (sizes[part] + sizes[to]) - _LOW) & (nodes[part] != nodes[to])
+                yield _edges(nodes[part][near], nodes[to][near])
+            step += 1
+
+    return scan
 
 
 def _alike(shingle: int, least: float):
@@ -309,43 +362,128 @@ def _alike(shingle: int, least: float):
     return scan
 
 
+def _links_across(apart: list[tuple], members: list[tuple], likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what all alike pairs of apart and members join; both are (node, root, hashes)."""
+    nodes, roots = (np.array([x[i] for x in apart], np.int64) for i in (0, 1))
+    sizes = np.array([len(x[2]) for x in apart])
+    tokens, owners = np.concatenate([x[2] for x in apart]), np.repeat(np.arange(len(apart)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    owners = owners[order]
+    known, starts, counts = np.unique(tokens[order], return_index=True, return_counts=True)
+    # a bit for each frequent shingle, lists of texts for the others
+    often = counts > max(32, len(apart) // 64)
+    columns = np.cumsum(often) - 1
+    width = -(-int(often.sum()) // 64) * 64
+    bits = np.zeros((len(apart), width), np.bool_)
+    flat = np.repeat(np.arange(len(known)), counts)
+    bits[owners[often[flat]], columns[flat[often[flat]]]] = True
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    low, high, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    for node, root, hashes in members:
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        at = at[known[at] == hashes]
+        own = np.zeros(width, np.bool_)
+        own[columns[at[often[at]]]] = True
+        rare = at[~often[at]]
+        lists = np.repeat(starts[rare] - np.cumsum(counts[rare]) + counts[rare], counts[rare]) + np.arange(counts[rare].sum())
+        shared = np.bincount(owners[lists], minlength=len(apart)) + np.bitwise_count(bits & np.packbits(own).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        near = nodes[(shared / (sizes + len(hashes) - shared) >= likeness) & (roots != root)]
+        low.append(near)
+        high.append(np.full(len(near), node))
+        held += len(near)
+        if held > FOREST_ROWS:
+            ends, tops = roots_of(np.concatenate(low), np.concatenate(high))
+            low, high, held = [ends[ends != tops]], [tops[ends != tops]], 0
+    return np.concatenate(low), np.concatenate(high)
+
+
+def _across(shingle: int, likeness: float):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[tuple, tuple[list, list]] = {}
+        for batch in batches:
+            keys = zip(*(batch.column(x).to_pylist() for x in ("family", "left", "right")))
+            for key, whole, node, root, text in zip(keys, *(batch.column(x).to_pylist() for x in ("whole", "node", "root", "bytes"))):
+                blocks.setdefault(key, ([], []))[whole].append((node, root, shingle_hashes(text, shingle)))
+        for apart, members in blocks.values():
+            if apart and members:
+                nodes, roots = roots_of(*_links_across(apart, members, likeness))
+                yield _edges(nodes[nodes != roots], roots[nodes != roots])
+
+    return scan
+
+
+def _common_shingles(texts: DataFrame, classes: int, shingle: int, dense: int) -> np.ndarray:
+    sample = texts.where(bucket_of("node", -(-classes // SAMPLE_TEXTS)) == 0) if classes > SAMPLE_TEXTS else texts
+    counts = sample.select("bytes").mapInArrow(_all_shingles(shingle), "token long").groupBy("token").count().where(F.col("count") > dense)
+    found = counts.orderBy(F.desc("count"), "token").limit(COMMON).collect()
+    return np.array([r.token for r in reversed(found)], np.int64)
+
+
+def _crowd_links(spark: SparkSession, stars: DataFrame, alike: DataFrame, sizes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, likeness: float) -> DataFrame | None:
+    """Edges between groups of one family that comparing with hubs left apart; None if there are no such groups."""
+    families = components(stars, scratch, "-families").withColumnRenamed("root", "family")
+    roots = components(alike, scratch, "-groups")
+    members = families.join(sizes, "node").join(roots, "node", "left").select("node", "family", "size", F.coalesce("root", "node").alias("root"))
+    members = scratch.keep(members, "members")
+    groups = members.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    largest = groups.groupBy("family").agg(F.max(F.struct("n", "root", "size")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("groups")).where("groups > 1")
+    blocks = lambda size: F.ceil(size / BLOCK_SHINGLES).cast("int")
+    largest = scratch.keep(largest.select("family", F.col("top.root").alias("top"), blocks(F.col("all") - F.col("top.size")).alias("lefts"), blocks(F.col("all")).alias("rights")), "largest")
+    if not largest.limit(1).count():
+        return None
+    part = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    placed = scratch.keep(members.join(largest, "family"), "placed")
+    whole = placed.select("node", "family", "root", every("lefts").alias("left"), part("rights").alias("right"), F.lit(True).alias("whole"))
+    apart = placed.where("root <> top").select("node", "family", "root", part("lefts").alias("left"), every("rights").alias("right"), F.lit(False).alias("whole"))
+    rows = scratch.keep(whole.unionByName(apart), "blocks").join(texts, "node")
+    tasks = max(partitions(spark), largest.agg(F.sum(F.col("lefts") * F.col("rights"))).first()[0] // 4)
+    return rows.repartition(tasks, "family", "left", "right").mapInArrow(_across(shingle, likeness), "a long, b long")
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, likeness: float = COPY_LIKENESS, dense: int = COPY_DENSE) -> DataFrame:
     """doc_id, row_key, component_id and leader of every row, as near_duplicates gives them, for near copies by shingle likeness.
 
-    Equal texts are one class. Classes whose word fingerprints meet are compared by their texts. In
-    crowds, where pairs would grow with the square, a class is compared with the hubs of its variants,
-    a number that grows with the crowd (the README says how many pairs that joins). Nulls, empties, ties and repeats are treated as in near_duplicates; texts without
-    words are one group.
+    Equal texts are one class. The groups are those that all pairs of classes of that likeness make.
+    Nulls, empties, ties and repeats are treated as in near_duplicates; texts without words are one group.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "copies")
     bounded_batches(spark)
     docs = id_and_text(df, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row_key"), F.col("text").cast("binary").alias("bytes"))
-    prints = ", ".join(f"f{t} long" for t in range(TABLES))
-    rows = scratch.keep(docs.mapInArrow(_prints, f"doc_id long, row_key long, {prints}"), "prints")
+    rows = scratch.keep(docs.select("doc_id", "row_key"), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    classes = scratch.keep(rows.groupBy("row_key").agg(first, *(F.min(f"f{t}").alias(f"f{t}") for t in range(TABLES))), "classes")
-    pairs, stars = [], []
-    for t in range(TABLES):
-        heads = scratch.keep(classes.groupBy(F.col(f"f{t}").alias("fp")).agg(F.min("row_key").alias("head")), f"heads{t}")
-        near, crowd = met(heads.select("fp", F.col("head").alias("node")), scratch, dense, f"-{t}")
-        named = lambda e, heads=heads: e.join(heads.withColumnsRenamed({"fp": "a", "head": "x"}), "a").join(heads.withColumnsRenamed({"fp": "b", "head": "y"}), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        same = classes.join(heads.withColumnRenamed("fp", f"f{t}"), f"f{t}").where("row_key <> head").select(F.col("head").alias("a"), F.col("row_key").alias("b"))
-        pairs.append(scratch.keep(named(near), f"pairs{t}"))
-        stars.append(scratch.keep(crowd.unionByName(same), f"stars{t}"))
-        release(spark)
-    edges = scratch.keep(reduce(DataFrame.unionByName, [*pairs, *stars]).distinct(), "edges-met")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
-    wanted = classes.join(nodes, "row_key").select(F.col("row_key").alias("node"), F.col("first.doc_id").alias("first_id"))
+    classes = scratch.keep(rows.groupBy("row_key").agg(first), "classes")
+    n = classes.count()
+    wanted = classes.select(F.col("row_key").alias("node"), F.col("first.doc_id").alias("first_id"))
     same_row = (F.col("row_key") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    texts = scratch.keep(docs.join(wanted, same_row).select("node", "bytes"), "texts")  # a row a class, or equal ones
+    texts = scratch.keep(docs.join(wanted, same_row).select("node", "bytes"), "texts")
+    if texts.count() > n:  # rows that repeat id and text
+        texts = scratch.keep(texts.groupBy("node").agg(F.min("bytes").alias("bytes")), "texts-once")
     release(spark)
 
-    def compared(edges: DataFrame, name: str) -> DataFrame:
-        both = edges.join(texts.withColumnsRenamed({"node": "a", "bytes": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "bytes": "y"}), "b")
-        return scratch.keep(both.mapInArrow(_alike(shingle, likeness), "a long, b long, fits boolean"), name)
+    common = _common_shingles(texts, n, shingle, dense)
+    tokens = texts.mapInArrow(_prefixes(shingle, likeness, common), "token long, node long, size int, place int, common boolean")
+    tokens = scratch.keep(tokens, "prefixes")
+    rare = tokens.where("not common").select("token", "node", "size", "place")
+    tasks = max(partitions(spark), -(-rare.count() // TASK_ROWS))
+    pairs = rare.repartition(tasks, "token").mapInArrow(_prefix_pairs(likeness), "a long, b long").distinct()
+    crowded = tokens.where("common").select("token", "node", "size", "place")
+    hubs = scratch.keep(crowded.groupBy("token").agg(F.min(F.struct("place", "node")).alias("hub")).select("token", F.col("hub.node").alias("hub")), "hubs")
+    stars = crowded.join(hubs, "token").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    stars = scratch.keep(stars, "stars")
+    edges = scratch.keep(pairs.unionByName(stars).distinct(), "edges-met")
+    release(spark)
+    both = edges.join(texts.withColumnsRenamed({"node": "a", "bytes": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "bytes": "y"}), "b")
+    alike = scratch.keep(both.mapInArrow(_alike(shingle, likeness), "a long, b long, fits boolean"), "compared").where("fits").select("a", "b")
+    release(spark)
+    if stars.limit(1).count():
+        sizes = scratch.keep(crowded.groupBy("node").agg(F.max("size").alias("size")), "sizes")
+        more = _crowd_links(spark, stars, alike, sizes, texts, scratch, shingle, likeness)
+        alike = alike if more is None else alike.unionByName(scratch.keep(more, "across"))
+        release(spark)
 
-    roots = components(compared(edges, "compared").where("fits").select("a", "b"), scratch)
+    roots = components(alike, scratch)
     named = classes.join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").select("row_key", F.coalesce("root", "row_key").alias("root"), F.struct("first.*", "row_key").alias("first"))
     named = scratch.keep(named, "named")
     heads = named.join(named.groupBy("root").agg(F.min("first").alias("head")), "root").select("row_key", "head")

@@ -129,3 +129,45 @@ def test_near_copies_of_odd_rows(spark, odd_documents, no_documents):
     rows = simhash.near_copies(odd_documents).collect()
     assert len(rows) == 8 and {r.component_id for r in rows if r.doc_id in (2, 3, 6)} == {2}
     assert simhash.near_copies(no_documents).count() == 0 and simhash.without_near_copies(odd_documents).columns == odd_documents.columns
+
+
+def likeness_groups(texts):
+    """The least number reachable over all pairs of a likeness of 0.8, by number of text."""
+    sets = []
+    for text in texts:
+        words = text.split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for b in range(len(texts)):
+        for a in range(b):
+            shared = len(sets[a] & sets[b])
+            if shared / (len(sets[a]) + len(sets[b]) - shared) >= 0.8 and (x := top(a)) != (y := top(b)):
+                root[max(x, y)] = min(x, y)
+    return {i: top(i) for i in range(len(texts))}
+
+
+def copy_groups(spark, texts, **how):
+    rows = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **how).collect()
+    return {r.doc_id: r.component_id for r in rows}
+
+
+def test_near_copies_with_added_and_missing_passages(spark):
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        k, at = int(len(base) * rng.uniform(0.05, 0.22)), rng.randrange(len(base) // 2)
+        new = [word() for _ in range(k)]
+        kinds = [base + new, base[:-k], base[:at] + new + base[at:], base[:at] + new[: k // 2] + base[at + k // 2 :]]
+        texts += [" ".join(base), " ".join(rng.choice(kinds))]
+    want = likeness_groups(texts)
+    assert 60 < len(set(want.values())) < 110
+    for dense in (1, simhash.COPY_DENSE):
+        assert copy_groups(spark, texts, dense=dense) == want
