@@ -171,3 +171,17 @@ def test_near_copies_with_added_and_missing_passages(spark):
     assert 60 < len(set(want.values())) < 110
     for dense in (1, simhash.COPY_DENSE):
         assert copy_groups(spark, texts, dense=dense) == want
+
+
+def test_near_copies_among_texts_of_the_same_words(spark):
+    rng = random.Random(15)
+    blocks = [[f"b{i}w{j}" for j in range(15)] for i in range(20)]
+    texts = []
+    for _ in range(40):
+        order = rng.sample(range(20), 20)
+        swapped = list(order)
+        swapped[3], swapped[4] = swapped[4], swapped[3]
+        texts += [" ".join(w for i in x for w in blocks[i]) for x in (order, swapped)]
+    want = likeness_groups(texts)
+    assert len(set(want.values())) == 40
+    assert copy_groups(spark, texts) == want
