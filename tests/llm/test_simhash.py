@@ -185,3 +185,24 @@ def test_near_copies_among_texts_of_the_same_words(spark):
     want = likeness_groups(texts)
     assert len(set(want.values())) == 40
     assert copy_groups(spark, texts) == want
+
+
+def test_near_copies_within_crowds(spark, monkeypatch):
+    rng = random.Random(16)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(words, n):
+        words = list(words)
+        for i in rng.sample(range(len(words)), n):
+            words[i] = rng.choice(base)
+        return words
+
+    texts = []
+    for _ in range(250):
+        one = changed(base, 12)
+        texts += [" ".join(one), " ".join(changed(one, 2))]
+    want = likeness_groups(texts)
+    assert 100 < len(set(want.values())) < 300
+    assert copy_groups(spark, texts) == want
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 20_000)
+    assert copy_groups(spark, texts) == want
