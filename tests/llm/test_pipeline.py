@@ -59,3 +59,34 @@ def test_odd_rows_go_through_every_stage(spark, odd_documents, no_documents):
         frame.collect()
     once = pipeline.dedup_stage(spark, odd_documents, SF).collect()
     assert sorted(r.doc_id for r in once if r.doc_id) == [1, 2, 4, 5] and sum(r.doc_id is None for r in once) == 1
+
+
+def test_dedup_stage_equals_all_pairs(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    long = sorted((r for r in rows if r.text and len(r.text.split()) >= 100), key=lambda r: r.doc_id)[:60]
+    top = max(r.doc_id for r in rows if r.doc_id is not None) + 1
+    words = [r.text.split() for r in long]
+    made = [w + [f"n{i}" for i in range(len(w) // 8)] for w in words[:15]] + [w[: -(len(w) // 8)] for w in words[15:30]] + [w[len(w) // 3 :] + w[: len(w) // 3] for w in words[30:45]]
+    made += [[*words[45][:i], f"x{i}", *words[45][i + 1 :]] for i in range(0, 80, 2)]
+    docs = [(r.doc_id, r.text or "") for r in rows] + [(top + i, " ".join(w)) for i, w in enumerate(made)]
+
+    sets = {}
+    for k, text in docs:
+        w = text.encode().lower().split()
+        n = min(pipeline.SHINGLE, len(w))
+        sets[k] = {b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+    root = {k: k for k in sets}
+
+    def head(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    ids = sorted(sets)
+    for i, b in enumerate(ids):
+        for a in ids[:i]:
+            if not sets[a].isdisjoint(sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= pipeline.LIKENESS and (x := head(a)) != (y := head(b)):
+                root[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in pipeline.dedup_stage(spark, frame, SF).select("doc_id").collect())
+    assert kept == sorted({head(k) for k in ids})
