@@ -17,6 +17,7 @@ packed as rows of their own. An empty table gives no rows.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import insort
 from collections.abc import Callable, Iterator
@@ -34,6 +35,8 @@ CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 RANGES = 4096
+#: tiktoken's pattern goes back over white space step by step and runs out of stack on longer runs than some 400,000.
+_LONG_SPACE = re.compile(r"(?<!\s)\s{10000}")
 _ENCODERS: dict[str, Callable[[list[str]], list[list[int]]]] = {}
 
 
@@ -48,7 +51,8 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     """Token ids of texts by the tokenizer file, without special tokens of its own.
 
     A byte-level vocabulary whose ids follow its merges is run by tiktoken, which gives the same ids
-    several times faster; texts that hold a special token's string, and other files, go to tokenizers.
+    several times faster; texts that hold a special token's string or 10,000 white spaces in a row, and
+    other files, go to tokenizers.
     """
     if path in _ENCODERS:
         return _ENCODERS[path]
@@ -77,7 +81,7 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [plain([t])[0] if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
+        return [plain([t])[0] if any(s in t for s in special) or _LONG_SPACE.search(t) else fast.encode_ordinary(t) for t in texts]
 
     _ENCODERS[path] = encode
     return encode

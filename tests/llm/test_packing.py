@@ -10,10 +10,11 @@ from tokenizers import Tokenizer
 from sieveworks.llm import packing
 
 PATH = public_tokenizers.path(packing.TOKENIZER)
+SLOW = Tokenizer.from_file(PATH)
 
 
 def slow_ids(text: str) -> list[int]:
-    return Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    return SLOW.encode(text, add_special_tokens=False).ids
 
 
 def test_encoder_gives_the_ids_of_the_tokenizer_file(spark):
@@ -23,6 +24,40 @@ def test_encoder_gives_the_ids_of_the_tokenizer_file(spark):
     assert packing.encoder(PATH)(texts) == [slow_ids(t) for t in texts]
 
 
+def test_long_runs_of_white_space(spark):
+    texts = [f"{a}{space * n}{b}" for space in " \t\n" for n, a, b in ((9_999, "word", "word"), (10_000, "", ""), (1_000_000, "word", "word"))] + [" " * 5_000_000]
+    want = {i: zlib.crc32(array("I", (SLOW.encode(t, add_special_tokens=False).ids + [2])[-1024:]).tobytes()) for i, t in enumerate(texts)}
+    rows = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    last = {r.doc_id: r for r in sorted(rows, key=lambda r: r.piece)}
+    assert {k: r.ids_crc32 for k, r in last.items() if r.length == 1024} == {k: want[k] for k, r in last.items() if r.length == 1024}
+    ids = packing.encoder(PATH)(texts)
+    assert all(crc == zlib.crc32(array("I", (own + [2])[-1024:]).tobytes()) for own, crc in zip(ids, want.values()))
+
+
+def test_query_is_best_fit_over_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = packing.op2_packing(spark, sf).collect()
+    lengths = []
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for text in docs.values():
+        n = len(SLOW.encode(text or "", add_special_tokens=False).ids) + 1
+        lengths += [1024] * (n // 1024) + [n % 1024] * (n % 1024 > 0)
+    assert sorted(lengths) == sorted(r.length for r in rows)
+    rooms: list[int] = []
+    for length in sorted(lengths, reverse=True):
+        best = min((r for r in rooms if r >= length), default=None)
+        if best is not None:
+            rooms.remove(best)
+        rooms.append((1024 if best is None else best) - length)
+    assert len({r.sequence_id for r in rows}) == len(rooms)
+    places: dict = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for p in places.values():
+        p.sort()
+        assert [o for o, _ in p] == [sum(n for _, n in p[:i]) for i in range(len(p))] and p[-1][0] + p[-1][1] <= 1024
+
+
 def test_plan_fills_each_slot_once_and_packs_well():
     rng = random.Random(2)
     for _ in range(50):
