@@ -2,19 +2,20 @@
 
 1. Candidate lexicon entries are whole words, word beginnings and word ends (4 to 6 letters). An entry
    is taken if it stands in more toxic than other training documents than chance explains, at all or
-   densely (``DENSE`` of the words; binomial tail, false discovery rate ``RATE``), the strongest
-   ``ENTRIES`` of them. A syllable that clean texts have now and then can still be dense in toxic ones.
+   densely (``DENSE`` of the words). Both are tested (binomial tails) for every candidate that ``LEAST``
+   or more training documents have so, and all that a false discovery rate of ``RATE`` over all tests
+   allows are taken; the classifier weighs what chance brought in. A syllable that clean texts have now and then can still be dense in toxic ones.
 2. Voters read a document and vote toxic, clean or nothing: one per entry kind for presence and for
    density, some that ask for several hits, a general word list, and patterns (shouting, exclamations, address).
-3. A generative label model estimates from the votes alone, by EM, how often each voter votes what on
-   toxic and on clean documents, with the correlations left between voters given the label: a
-   voter's evidence is divided by how much it repeats others.
+3. A generative label model is fitted to the votes alone, by EM: how toxic and clean documents are
+   voted on by each voter, and the correlations between voters given the label, so that a voter that
+   repeats others adds only what they leave open.
 4. A linear classifier (presence and density of entries, and patterns) is trained on the posterior labels; its scores
    cover every row and whole text.
 
 Learning uses at most ``PER_CLASS`` labelled documents of each class, those whose ids have the
 smallest hashes; labels come only from ids whose crc32, as text, has a remainder other than
-``HELD`` by ``FOLDS``. What the driver sees is bounded by these parameters.
+``HELD`` by ``FOLDS``. The driver sees the entries that were taken and where these documents have them.
 
 A null or empty text has no hits and the score that follows. Rows that repeat are scored as rows of
 their own, rows with a null id too (held out: false). Null labels teach nothing; without labels of
@@ -30,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, table
@@ -38,8 +39,7 @@ from .quality import label_share, remainder, training_ids
 
 FOLDS, HELD = 5, 0
 PER_CLASS = 3000
-ENTRIES = 1000
-RATE = 0.05
+RATE = 0.1
 LEAST = 5
 #: Log odds from which entries vote.
 STRONG = 2.5
@@ -115,78 +115,125 @@ def seen(text: str) -> tuple[set[str], set[str]]:
     return set(counts), {e for e, n in counts.items() if n >= least}
 
 
-def tail(toxic: int, clean: int, share: float) -> float:
-    """Log of the chance that at least so many of toxic + clean documents are toxic, by Chernoff's bound."""
-    n = toxic + clean
-    p = toxic / n
-    if p <= share:
-        return 0.0
-    return -n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0))
+def log_tails(toxic: np.ndarray, seen: np.ndarray, share: float) -> np.ndarray:
+    """Logs of the chances that at least so many of the documents seen are toxic: binomial tails, summed up."""
+    most = int(seen.max(initial=0))
+    factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, most + 1)))))
+    first = factorial[seen] - factorial[toxic] - factorial[seen - toxic] + toxic * math.log(share) + (seen - toxic) * math.log1p(-share)
+    odds, total, term, k = share / (1 - share), np.ones(len(seen)), np.ones(len(seen)), toxic.astype(float)
+    while len(term) and (term > 1e-12 * total).any():
+        term = term * np.maximum(0, seen - k) / (k + 1) * odds
+        total, k = total + term, k + 1
+    return np.minimum(0.0, first + np.log(total))
 
 
-def choose(counts: list[tuple[str, int, int, int, int]], toxic: int, clean: int) -> list[tuple[str, float, float]]:
-    """The lexicon, the most certain first: entries with their log odds, present and dense.
+def tested(totals: DataFrame, share: float, least: int = LEAST) -> DataFrame:
+    """entry and log_p of every test: an entry's presence and its density, where at least so many documents have it.
 
-    counts: entry, toxic and clean documents that have it, toxic and clean documents where it is dense.
+    How many have it says nothing of their labels, so tests that are left out do not bend the others.
     """
-    share = toxic / (toxic + clean)
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic, clean = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("toxic", "clean"))
+            yield pa.RecordBatch.from_arrays([batch.column("entry"), pa.array(log_tails(toxic, toxic + clean, share))], names=["entry", "log_p"])
+
+    both = totals.select("entry", F.explode(F.array(*(F.struct(F.col(a).alias("toxic"), F.col(b).alias("clean")) for a, b in (COUNTS[:2], COUNTS[2:])))).alias("n")).select("entry", "n.*")
+    return both.where(F.col("toxic") + F.col("clean") >= least).mapInArrow(tails, "entry string, log_p double")
+
+
+def discoveries(tested: DataFrame, rate: float = RATE) -> DataFrame:
+    """The rows of tested (with log_p) that a false discovery rate over all of them allows (Benjamini-Hochberg).
+
+    The largest k with k rows at or below rate * k / n: counted anew for the k found before until it stays.
+    """
+    n = kept = tested.count()
+    while kept:
+        found = tested.where(F.col("log_p") <= math.log(rate * kept / n)).count()
+        if found == kept:
+            break
+        kept = found
+    return tested.where(F.col("log_p") <= math.log(rate * kept / n)) if kept else tested.limit(0)
+
+
+def choose(totals: DataFrame, tests: DataFrame, toxic: int, clean: int, rate: float = RATE) -> list[tuple[str, float, float]]:
+    """The lexicon in order: entries with a discovery among their tests, with their log odds, present and dense."""
     odds = lambda a, b: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
-    ranked = sorted((min(tail(a, b, share), tail(c, d, share) if c else 0.0), e, odds(a, b), odds(c, d) if c >= LEAST else 0.0) for e, a, b, c, d in counts)
-    kept = 0
-    for i, (log_p, *_) in enumerate(ranked):
-        if log_p <= math.log(RATE * (i + 1) / len(ranked)):
-            kept = i + 1
-    return [x[1:] for x in ranked[: min(kept, ENTRIES)]]
+    found = totals.join(discoveries(tests, rate).select("entry").distinct(), "entry").select("entry", *COUNTS)
+    return sorted((e, odds(a, b), odds(c, d) if c >= LEAST else 0.0) for e, a, b, c, d in found.collect())
 
 
-def votes(present: np.ndarray, dense: np.ndarray, shape: np.ndarray, lexicon: list[tuple[str, float, float]]) -> np.ndarray:
+class Hits:
+    """A sparse matrix: row, column and value of what is not zero."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.columns, self.values, self.shape = rows, columns, values, shape
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * w[self.columns], self.shape[0])
+
+    def transposed_times(self, e: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, self.values * e[self.rows], self.shape[1])
+
+    def count(self, which: np.ndarray, least: float) -> np.ndarray:
+        """How many of some columns reach a value, for each row."""
+        return np.bincount(self.rows[which[self.columns] & (self.values >= least)], minlength=self.shape[0])
+
+
+def votes(present: Hits, dense: Hits, shape: np.ndarray, lexicon: list[tuple[str, float, float]]) -> np.ndarray:
     """Votes (1 toxic, -1 clean, 0 none) of all voters, from the entries present and dense, and the patterns."""
     kind = np.array([int(e[0]) for e, _, _ in lexicon], int)
     columns = []
-    for member, odds in ((present, [x[1] for x in lexicon]), (dense, [x[2] for x in lexicon])):
+    for hits_, least, odds in ((present, 1.0, [x[1] for x in lexicon]), (dense, 0.5, [x[2] for x in lexicon])):
         strong = np.array(odds) > STRONG
-        columns += [np.where(member[:, own].any(axis=1), 1, -1) for k in range(len(KINDS)) if (own := strong & (kind == k)).any()]
-        total = member[:, strong].sum(axis=1)
-        columns += [np.where(total >= n, 1, np.where(total == 0, -1, 0)) for n in (2, 4) if strong.any()]
+        columns += [np.where(hits_.count(own, least) > 0, 1, -1) for k in range(len(KINDS)) if (own := strong & (kind == k)).any()]
+        if strong.any():
+            total = hits_.count(strong, least)
+            columns += [np.where(total >= n, 1, np.where(total == 0, -1, 0)) for n in (2, 4)]
     insults = shape[:, 2] > 0
     columns += [np.where(insults, 1, 0), np.where(shape[:, 0] > 0.5, 1, 0), np.where(shape[:, 1] > 0.5, 1, 0), np.where(insults & (shape[:, 3] > 0), 1, 0)]
     return np.stack(columns, axis=1).astype(np.int8)
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxic for each row of votes, the voters' vote shares given the label, and their correlations."""
+def label_model(v: np.ndarray, prior: float, rounds: int = 40, shrink: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of toxic for each row of votes, the voters' vote shares given the label, and their correlations.
+
+    The model: a label with the prior, and votes that are normal around the label's means with one
+    covariance; what voters share beyond the label counts once. It starts from the votes' sum, a vote
+    counting the less the more others go along with it. shrink mixes some even variance in.
+    """
     n, m = v.shape
-    onehot = np.stack([(v == x) for x in (-1, 0, 1)], axis=2).astype(float)
-    start = v.astype(float).mean(axis=1)
-    p = np.where(start >= np.quantile(start, max(0.0, 1 - prior)), 0.9, 0.1) if n else np.zeros(0)
-    weight, table_, related = np.ones(m), np.zeros((2, m, 3)), np.eye(m)
+    x = v.astype(float)
+    apart = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)
+    start = x @ (1 / np.maximum(1, np.abs(apart.T @ apart / n).sum(axis=1)))
+    p = np.where(start >= np.quantile(start, max(0.0, 1 - prior)), 0.9, 0.1)
+    related = np.eye(m)
     for _ in range(rounds):
-        for k, q in enumerate((1 - p, p)):
-            table_[k] = (np.einsum("i,ijx->jx", q, onehot) + 0.5) / (q.sum() + 1.5)
-        # what is left of a voter once the label is known, and how much of that others share
-        left = v - ((1 - p)[:, None] * (table_[0] @ [-1, 0, 1]) + p[:, None] * (table_[1] @ [-1, 0, 1]))
-        spread = np.sqrt((left**2).mean(axis=0)) + 1e-9
-        related = np.abs((left.T @ left) / max(n, 1) / np.outer(spread, spread))
-        np.fill_diagonal(related, 1)
-        weight = 1 / np.maximum(1, np.where(related > 0.1, related, 0).sum(axis=1))
-        odds = np.einsum("ijx,jx->ij", onehot, np.log(table_[1]) - np.log(table_[0])) @ weight + math.log(prior / (1 - prior))
+        means = [(q @ x) / q.sum() for q in (1 - p, p)]
+        left = x - (1 - p)[:, None] * means[0] - p[:, None] * means[1]
+        covariance = left.T @ left / n
+        spread = np.sqrt(np.diag(covariance)) + 1e-9
+        related = covariance / np.outer(spread, spread)
+        covariance = (1 - shrink) * covariance + (shrink * np.trace(covariance) / m + 1e-9) * np.eye(m)
+        w = np.linalg.solve(covariance, means[1] - means[0])
+        odds = (x - (means[0] + means[1]) / 2) @ w + math.log(prior / (1 - prior))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if abs(new - p).max(initial=0) < 1e-6:
             break
         p = new
-    return p, table_, related
+    shares = np.array([[(q @ (v == k)) / max(q.sum(), 1e-9) for k in (-1, 0, 1)] for q in (1 - p, p)]).transpose(0, 2, 1)
+    return p, shares, related
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
+def fit_linear(x: Hits, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, by accelerated gradient steps."""
     w, b = np.zeros(x.shape[1]), 0.0
     vw, vb = w.copy(), b
     weight = weight / weight.sum()
-    rate = 4 / (1 + np.einsum("i,ij->", weight, x * x) / 4)
-    rate = min(rate, 1.0)
+    rate = min(1.0, 4 / (1 + float(np.dot(weight[x.rows], x.values**2)) / 4))
     for i in range(rounds):
-        e = (1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30))) - y) * weight
-        nw, nb = vw - rate * (x.T @ e + ridge * vw), vb - rate * e.sum()
+        e = (1 / (1 + np.exp(-np.clip(x.times(vw) + vb, -30, 30))) - y) * weight
+        nw, nb = vw - rate * (x.transposed_times(e) + ridge * vw), vb - rate * e.sum()
         vw, vb = nw + i / (i + 3) * (nw - w), nb + i / (i + 3) * (nb - b)
         w, b = nw, nb
     return w, float(b)
@@ -218,19 +265,18 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     totals = rows.select("label", "text").mapInArrow(count, "entry string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("entry").agg(*(F.sum(c).alias(c) for c in COUNTS))
     rate = of[1] / (of[0] + of[1])
-    more = lambda a, b: (F.col(a) >= LEAST) & (F.col(a) > 1.5 * rate * (F.col(a) + F.col(b)))
-    best = F.greatest(*(F.when(more(a, b), F.col(a) * F.log(F.col(a) / (F.col(a) + F.col(b)) / rate)).otherwise(0.0) for a, b in (COUNTS[:2], COUNTS[2:])))
-    counts = [tuple(r)[:5] for r in totals.withColumn("best", best).where("best > 0").orderBy(F.desc("best"), "entry").limit(20 * ENTRIES).collect()]
-    lexicon = choose(counts, of[1], of[0]) if counts else []
+    totals = scratch.keep(totals, "totals")
+    lexicon = choose(totals, scratch.keep(tested(totals, rate), "tested"), of[1], of[0])
     number = {e: i for i, (e, _, _) in enumerate(lexicon)}
     found = sorted(rows.select("label", "text").mapInArrow(_reader(number), "label int, hits array<int>, shares array<double>, shape array<double>").collect())
     n, m = len(found), len(lexicon)
-    x = np.zeros((n, 2 * m + PATTERNS))
-    for i, r in enumerate(found):
-        x[i, r.hits] = 1
-        x[i, np.array(r.hits, int) + m] = r.shares
-    x[:, 2 * m :] = [r["shape"] for r in found]
-    v = votes(x[:, :m] > 0, x[:, m : 2 * m] >= 0.5, x[:, 2 * m :], lexicon)
+    of_row = np.repeat(np.arange(n), [len(r.hits) for r in found])
+    places, shares = (np.array([x for r in found for x in r[k]], t) for k, t in ((1, np.int64), (2, np.float64)))
+    present, dense = Hits(of_row, places, np.ones(len(places)), (n, m)), Hits(of_row, places, shares, (n, m))
+    shape = np.array([r["shape"] for r in found]).reshape(n, PATTERNS)
+    own, kinds = np.nonzero(shape)
+    x = Hits(np.concatenate((of_row, of_row, own)), np.concatenate((places, places + m, kinds + 2 * m)), np.concatenate((present.values, shares, shape[own, kinds])), (n, 2 * m + PATTERNS))
+    v = votes(present, dense, shape, lexicon)
     posterior, _, _ = label_model(v, rate)
     label = np.array([r.label for r in found])
     natural = np.where(label == 1, share / rate, (1 - share) / (1 - rate))
@@ -239,7 +285,6 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return {"lexicon": number, "present": present, "dense": dense, "shape": shape, "bias": b}
 
 
-
 def _shape(text: str) -> list[float]:
     out = patterns(text)
     out[2] = float(not INSULTS.isdisjoint(_WORD.findall(text.lower())))
