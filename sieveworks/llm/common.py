@@ -26,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made.
+    Where that is unset a temporary folder is made on a single machine; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _FALLBACK_DIR:
         _FALLBACK_DIR.append("file://" + tempfile.mkdtemp(prefix="sieveworks-"))
     return _FALLBACK_DIR[0]
@@ -40,23 +42,33 @@ class Scratch:
     """Tables written to the shared folder so that lineage is cut and a lost executor costs nothing.
 
     ``keep`` writes a frame and reads it back; ``drop`` removes a table that later steps do not need.
+    Results are lazy and read these tables, so they stay until ``clear_scratch`` is called.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        Scratch.made.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def drop(self, name: str = "") -> None:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_scratch(since: int = 0) -> None:
+    """Removes the tables that operators made, the first ``since`` of them excepted, once results that read them are written."""
+    while len(Scratch.made) > since:
+        Scratch.made.pop().drop()
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now; it does so when the driver drops what refers to them."""
     gc.collect()

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, bucket_of, id_and_text, partitions, release, table
@@ -263,7 +263,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 #    ones the sample shows has no bearing on what is found: prefixes are exact under any order.
 # 2. Texts that meet in another shingle of their prefixes, and can still be alike by their sizes and
 #    places there, are compared.
-# 3. Texts with common shingles in their prefixes are crowds. A text is compared with the hub of each
+# 3. Texts with common shingles in their prefixes are crowds, and so are more than COPY_HOT that meet. A text is compared with the hub of each
 #    of its common shingles, and texts that are linked through hubs are one family. Then all texts of
 #    a family that are outside its largest group are compared with all of the family, in blocks.
 #    A pair that meets in a common shingle only is of one family, so none is left out.
@@ -272,6 +272,8 @@ COPY_SHINGLE = 5
 COPY_LIKENESS = 0.8
 #: A shingle of more texts of the sample is common.
 COPY_DENSE = 6
+#: Texts that meet in one other shingle are compared pair by pair up to so many; more are a crowd as well.
+COPY_HOT = 256
 #: Texts that are looked at for common shingles, and common shingles that are kept, at most.
 SAMPLE_TEXTS = 20_000
 COMMON = 100_000
@@ -329,7 +331,11 @@ def _prefixes(shingle: int, likeness: float, common: np.ndarray):
     return scan
 
 
-def _prefix_pairs(likeness: float):
+def _flagged(edges: pa.RecordBatch, star: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*edges.columns, pa.array(np.full(edges.num_rows, star))], names=["a", "b", "star"])
+
+
+def _prefix_pairs(likeness: float, hot: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[b.column(x).to_numpy(zero_copy_only=False) for x in ("token", "node", "size", "place")] for b in batches if b.num_rows]
         if not parts:
@@ -340,14 +346,23 @@ def _prefix_pairs(likeness: float):
         tokens, nodes, sizes, places = tokens[order], nodes[order], sizes[order], places[order]
         starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         lengths = np.diff(np.append(starts, len(tokens)))
-        ends = np.repeat(starts + lengths, lengths)
+        run = np.repeat(np.arange(len(starts)), lengths)
+        large = lengths > hot
+        if large.any():  # crowds: a star to the hub, which of the texts has the shingle first
+            places_, nodes_, run_ = (x[large[run]] for x in (places, nodes, run))
+            inside = np.lexsort((nodes_, places_, run_))
+            first = np.flatnonzero(np.concatenate(([True], run_[inside][1:] != run_[inside][:-1])))
+            hub = np.repeat(nodes_[inside][first], lengths[large])
+            apart = nodes_[inside] != hub
+            yield _flagged(_edges(nodes_[inside][apart], hub[apart]), True)
+        ends = np.repeat(np.where(large, 0, starts + lengths), lengths)
         at, step = np.arange(len(tokens)), 1
         while len(at := at[at + step < ends[at]]):
             for part in np.array_split(at, -(-len(at) // 1_000_000)):
                 to = part + step
                 shared = np.minimum(sizes[part] - places[part], sizes[to] - places[to])
                 near = (shared >= likeness / (1 + likeness) * (sizes[part] + sizes[to]) - _LOW) & (nodes[part] != nodes[to])
-                yield _edges(nodes[part][near], nodes[to][near])
+                yield _flagged(_edges(nodes[part][near], nodes[to][near]), False)
             step += 1
 
     return scan
@@ -441,22 +456,31 @@ def _crowd_links(spark: SparkSession, stars: DataFrame, alike: DataFrame, sizes:
     return rows.repartition(tasks, "family", "left", "right").mapInArrow(_across(shingle, likeness), "a long, b long")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, likeness: float = COPY_LIKENESS, dense: int = COPY_DENSE) -> DataFrame:
-    """doc_id, row_key, component_id and leader of every row, as near_duplicates gives them, for near copies by shingle likeness.
+def _hashes(text: Column | str) -> tuple[Column, Column]:
+    """Two independent hashes of a text: texts are equal if both are."""
+    return F.xxhash64(text), F.xxhash64(F.lit("check"), text)
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, likeness: float = COPY_LIKENESS, dense: int = COPY_DENSE, hot: int = COPY_HOT) -> DataFrame:
+    """doc_id, row_key, check, component_id and leader of every row, as near_duplicates gives them, for near copies by shingle likeness.
 
-    Equal texts are one class. The groups are those that all pairs of classes of that likeness make.
+    Equal texts, by two hashes of 64 bits, are one class. The groups are those that all pairs of classes of that likeness make.
     Nulls, empties, ties and repeats are treated as in near_duplicates; texts without words are one group.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "copies")
     bounded_batches(spark)
-    docs = id_and_text(df, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row_key"), F.col("text").cast("binary").alias("bytes"))
-    rows = scratch.keep(docs.select("doc_id", "row_key"), "rows")
+    docs = id_and_text(df, id_col, text_col).select("doc_id", *(h.alias(c) for c, h in zip(("row_key", "check"), _hashes("text"))), F.col("text").cast("binary").alias("bytes"))
+    rows = scratch.keep(docs.select("doc_id", "row_key", "check"), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    classes = scratch.keep(rows.groupBy("row_key").agg(first), "classes")
+    classes = scratch.keep(rows.groupBy("row_key", "check").agg(first), "all-classes")
+    # texts that share the first hash only, a few in 10^10: all but one get another node, made of both hashes
+    shared = classes.groupBy("row_key").agg(F.min("check").alias("least"), F.count("*").alias("n")).where("n > 1").select("row_key", "least")
+    node = F.when(F.col("check") != F.col("least"), F.xxhash64("check", "row_key")).otherwise(F.col("row_key"))
+    classes = scratch.keep(classes.join(shared, "row_key", "left").select("row_key", "check", node.alias("node"), "first"), "classes")
     n = classes.count()
-    wanted = classes.select(F.col("row_key").alias("node"), F.col("first.doc_id").alias("first_id"))
-    same_row = (F.col("row_key") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    wanted = classes.select(F.col("row_key").alias("key"), F.col("check").alias("other"), "node", F.col("first.doc_id").alias("first_id"))
+    same_row = (F.col("row_key") == F.col("key")) & (F.col("check") == F.col("other")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     texts = scratch.keep(docs.join(wanted, same_row).select("node", "bytes"), "texts")
     if texts.count() > n:  # rows that repeat id and text
         texts = scratch.keep(texts.groupBy("node").agg(F.min("bytes").alias("bytes")), "texts-once")
@@ -467,42 +491,43 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     tokens = scratch.keep(tokens, "prefixes")
     rare = tokens.where("not common").select("token", "node", "size", "place")
     tasks = max(partitions(spark), -(-rare.count() // TASK_ROWS))
-    pairs = rare.repartition(tasks, "token").mapInArrow(_prefix_pairs(likeness), "a long, b long").distinct()
+    pairs = scratch.keep(rare.repartition(tasks, "token").mapInArrow(_prefix_pairs(likeness, hot), "a long, b long, star boolean").distinct(), "pairs")
     crowded = tokens.where("common").select("token", "node", "size", "place")
     hubs = scratch.keep(crowded.groupBy("token").agg(F.min(F.struct("place", "node")).alias("hub")).select("token", F.col("hub.node").alias("hub")), "hubs")
-    stars = crowded.join(hubs, "token").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    stars = scratch.keep(stars, "stars")
-    edges = scratch.keep(pairs.unionByName(stars).distinct(), "edges-met")
+    stars = crowded.join(hubs, "token").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    stars = scratch.keep(stars.unionByName(pairs.where("star").select("a", "b")).distinct(), "stars")
+    edges = scratch.keep(pairs.where("not star").select("a", "b").unionByName(stars).distinct(), "edges-met")
     release(spark)
     both = edges.join(texts.withColumnsRenamed({"node": "a", "bytes": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "bytes": "y"}), "b")
     alike = scratch.keep(both.mapInArrow(_alike(shingle, likeness), "a long, b long, fits boolean"), "compared").where("fits").select("a", "b")
     release(spark)
     if stars.limit(1).count():
-        sizes = scratch.keep(crowded.groupBy("node").agg(F.max("size").alias("size")), "sizes")
+        sizes = tokens.where("place = 0").select("node", "size")  # a row for each text
         more = _crowd_links(spark, stars, alike, sizes, texts, scratch, shingle, likeness)
         alike = alike if more is None else alike.unionByName(scratch.keep(more, "across"))
         release(spark)
 
     roots = components(alike, scratch)
-    named = classes.join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").select("row_key", F.coalesce("root", "row_key").alias("root"), F.struct("first.*", "row_key").alias("first"))
+    named = classes.join(roots, "node", "left").select("row_key", "check", F.coalesce("root", "node").alias("root"), F.struct("first.*", "row_key", "check").alias("first"))
     named = scratch.keep(named, "named")
-    heads = named.join(named.groupBy("root").agg(F.min("first").alias("head")), "root").select("row_key", "head")
-    lead = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("row_key") == F.col("head.row_key"))
-    return rows.join(heads, "row_key").select("doc_id", "row_key", F.col("head.doc_id").alias("component_id"), lead.alias("leader"))
+    heads = named.join(named.groupBy("root").agg(F.min("first").alias("head")), "root").select("row_key", "check", "head")
+    lead = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("row_key") == F.col("head.row_key")) & (F.col("check") == F.col("head.check"))
+    return rows.join(heads, ["row_key", "check"]).select("doc_id", "row_key", "check", F.col("head.doc_id").alias("component_id"), lead.alias("leader"))
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, likeness: float = COPY_LIKENESS) -> DataFrame:
     """The leaders of all groups of near copies, with the columns of df; of rows that repeat id and text one stays."""
     spark = df.sparkSession
     scratch = Scratch(spark, "dedup")
-    found = near_copies(df, id_col, text_col, shingle, likeness).where("leader").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
-    leaders = scratch.keep(found.groupBy("_id", "_key").agg(F.count("*").alias("_times")), "leaders")
+    found = near_copies(df, id_col, text_col, shingle, likeness).where("leader")
+    leaders = scratch.keep(found.groupBy("doc_id", "row_key", "check").agg(F.count("*").alias("times")), "leaders")
     release(spark)
-    keyed = df.withColumn("_row_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    kept = keyed.join(leaders, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")))
-    if leaders.where("_times > 1").limit(1).count():
-        kept = kept.where("_times = 1").unionByName(kept.where("_times > 1").dropDuplicates([id_col, "_row_key"]))
-    return kept.select(*df.columns)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("id"), *(h.alias(c) for c, h in zip(("key", "other"), _hashes(text))))
+    kept = keyed.join(leaders, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("row_key")) & (F.col("other") == F.col("check")))
+    if leaders.where("times > 1").limit(1).count():
+        kept = kept.where("times = 1").unionByName(kept.where("times > 1").dropDuplicates(["id", "key", "other"]))
+    return kept.select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

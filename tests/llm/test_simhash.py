@@ -111,8 +111,8 @@ def test_near_copies_equal_brute_force(spark):
         for (a, b), n in likeness.items():
             if n >= 0.8:
                 root[a] = root[b] = min(root[a], root[b])
-    for dense in (2, simhash.DENSE):
-        found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), dense=dense).collect()}
+    for how in ({"dense": 2}, {"hot": 2, "dense": 100}):
+        found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), **how).collect()}
         assert found == root
 
 
@@ -125,6 +125,40 @@ def test_near_copies_of_one_text_stay_one(spark):
     assert [r.doc_id for r in simhash.without_near_copies(df).collect()] == [0]
 
 
+def test_texts_that_share_one_hash_stay_apart(spark, monkeypatch):
+    docs = [(i, f"text number {i // 2} of its own") for i in range(12)]
+    monkeypatch.setattr(simhash, "_hashes", lambda text: (F.xxhash64(F.substring(text, 1, 4)), F.xxhash64(text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == {i: i // 2 * 2 for i in range(12)}
+    assert sorted(r.doc_id for r in simhash.without_near_copies(df).collect()) == [0, 2, 4, 6, 8, 10]
+
+
+def test_clashing_names(spark):
+    names = ("_id", "_key", "_times", "_row_key", "row", "id", "key", "other", "check", "times")
+    df = spark.createDataFrame([(1, "a b c", *range(10)), (2, "a b c", *range(10)), (None, None, *range(10))], "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    kept = simhash.without_near_copies(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == [(1, "a b c", *range(10)), (None, None, *range(10))]
+
+
+def test_query_equals_a_plain_computation(spark):
+    sf = "/root/testdata/sf0.01"
+    fps = {r.doc_id: simhash.fingerprint((r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    root = {k: k for k in fps}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    ids = sorted(fps)
+    for i, b in enumerate(ids):
+        for a in ids[:i]:
+            if ((fps[a] ^ fps[b]) & 2**64 - 1).bit_count() <= 4 and (x := top(a)) != (y := top(b)):
+                root[max(x, y)] = min(x, y)
+    rows = simhash.op4_simhash(spark, sf).collect()
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in rows} == {(k, f"{v & 2**64 - 1:016x}", top(k)) for k, v in fps.items()}
+
+
 def test_near_copies_of_odd_rows(spark, odd_documents, no_documents):
     rows = simhash.near_copies(odd_documents).collect()
     assert len(rows) == 8 and {r.component_id for r in rows if r.doc_id in (2, 3, 6)} == {2}
@@ -169,8 +203,8 @@ def test_near_copies_with_added_and_missing_passages(spark):
         texts += [" ".join(base), " ".join(rng.choice(kinds))]
     want = likeness_groups(texts)
     assert 60 < len(set(want.values())) < 110
-    for dense in (1, simhash.COPY_DENSE):
-        assert copy_groups(spark, texts, dense=dense) == want
+    for how in ({}, {"dense": 1}):
+        assert copy_groups(spark, texts, **how) == want
 
 
 def test_near_copies_among_texts_of_the_same_words(spark):
@@ -205,4 +239,4 @@ def test_near_copies_within_crowds(spark, monkeypatch):
     assert 100 < len(set(want.values())) < 300
     assert copy_groups(spark, texts) == want
     monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 20_000)
-    assert copy_groups(spark, texts) == want
+    assert copy_groups(spark, texts, hot=20, dense=1000) == want
