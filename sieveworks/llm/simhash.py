@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, bucket_of, id_and_text, partitions, release, table
+from .common import Scratch, bounded_batches, bucket_of, clear_scratch, id_and_text, partitions, release, table
 
 #: Differing bits at which two fingerprints still link. The blocks and balls below are made for four.
 RADIUS = 4
@@ -220,6 +220,7 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "") -> DataFrame:
     edges = scratch.keep(edges.select("a", "b"), f"links{tag}")
     edges = edges.repartition(max(1, edges.count() // FOREST_ROWS)).mapInArrow(_forest, "a long, b long")
     both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"edges{tag}")
+    scratch.drop(f"links{tag}")
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root"), F.lit(True).alias("moved")), f"labels{tag}-0")
     step = 0
     while labels.where("moved").limit(1).count():
@@ -273,7 +274,7 @@ COPY_LIKENESS = 0.8
 #: A shingle of more texts of the sample is common.
 COPY_DENSE = 6
 #: Texts that meet in one other shingle are compared pair by pair up to so many; more are a crowd as well.
-COPY_HOT = 256
+COPY_HOT = 32
 #: Texts that are looked at for common shingles, and common shingles that are kept, at most.
 SAMPLE_TEXTS = 20_000
 COMMON = 100_000
@@ -348,13 +349,10 @@ def _prefix_pairs(likeness: float, hot: int):
         lengths = np.diff(np.append(starts, len(tokens)))
         run = np.repeat(np.arange(len(starts)), lengths)
         large = lengths > hot
-        if large.any():  # crowds: a star to the hub, which of the texts has the shingle first
-            places_, nodes_, run_ = (x[large[run]] for x in (places, nodes, run))
-            inside = np.lexsort((nodes_, places_, run_))
-            first = np.flatnonzero(np.concatenate(([True], run_[inside][1:] != run_[inside][:-1])))
-            hub = np.repeat(nodes_[inside][first], lengths[large])
-            apart = nodes_[inside] != hub
-            yield _flagged(_edges(nodes_[inside][apart], hub[apart]), True)
+        if large.any():  # crowds: a star to the least text, which copies have in common however often they meet
+            members = nodes[large[run]]
+            hub = np.repeat(np.minimum.reduceat(members, np.cumsum(lengths[large]) - lengths[large]), lengths[large])
+            yield _flagged(_edges(members[members != hub], hub[members != hub]), True)
         ends = np.repeat(np.where(large, 0, starts + lengths), lengths)
         at, step = np.arange(len(tokens)), 1
         while len(at := at[at + step < ends[at]]):
@@ -478,6 +476,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     shared = classes.groupBy("row_key").agg(F.min("check").alias("least"), F.count("*").alias("n")).where("n > 1").select("row_key", "least")
     node = F.when(F.col("check") != F.col("least"), F.xxhash64("check", "row_key")).otherwise(F.col("row_key"))
     classes = scratch.keep(classes.join(shared, "row_key", "left").select("row_key", "check", node.alias("node"), "first"), "classes")
+    scratch.drop("all-classes")
     n = classes.count()
     wanted = classes.select(F.col("row_key").alias("key"), F.col("check").alias("other"), "node", F.col("first.doc_id").alias("first_id"))
     same_row = (F.col("row_key") == F.col("key")) & (F.col("check") == F.col("other")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
@@ -497,16 +496,22 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     stars = crowded.join(hubs, "token").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     stars = scratch.keep(stars.unionByName(pairs.where("star").select("a", "b")).distinct(), "stars")
     edges = scratch.keep(pairs.where("not star").select("a", "b").unionByName(stars).distinct(), "edges-met")
+    crowds = stars.limit(1).count() > 0
+    sizes = scratch.keep(tokens.where("place = 0").select("node", "size"), "sizes") if crowds else None  # a row for each text
+    scratch.drop("prefixes")
+    scratch.drop("pairs")
     release(spark)
     both = edges.join(texts.withColumnsRenamed({"node": "a", "bytes": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "bytes": "y"}), "b")
     alike = scratch.keep(both.mapInArrow(_alike(shingle, likeness), "a long, b long, fits boolean"), "compared").where("fits").select("a", "b")
     release(spark)
-    if stars.limit(1).count():
-        sizes = tokens.where("place = 0").select("node", "size")  # a row for each text
+    if crowds:
         more = _crowd_links(spark, stars, alike, sizes, texts, scratch, shingle, likeness)
         alike = alike if more is None else alike.unionByName(scratch.keep(more, "across"))
+        scratch.drop("blocks")
         release(spark)
 
+    scratch.drop("texts")
+    scratch.drop("texts-once")
     roots = components(alike, scratch)
     named = classes.join(roots, "node", "left").select("row_key", "check", F.coalesce("root", "node").alias("root"), F.struct("first.*", "row_key", "check").alias("first"))
     named = scratch.keep(named, "named")
@@ -519,8 +524,10 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The leaders of all groups of near copies, with the columns of df; of rows that repeat id and text one stays."""
     spark = df.sparkSession
     scratch = Scratch(spark, "dedup")
+    before = len(Scratch.made)
     found = near_copies(df, id_col, text_col, shingle, likeness).where("leader")
     leaders = scratch.keep(found.groupBy("doc_id", "row_key", "check").agg(F.count("*").alias("times")), "leaders")
+    clear_scratch(before)
     release(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("id"), *(h.alias(c) for c, h in zip(("key", "other"), _hashes(text))))
