@@ -29,7 +29,7 @@ from ..operators.verify import admissible, frozen_case, preview, screen, verify
 from ..profile import profile_df
 from ..sources.readers import read, read_family, session as spark_session
 from . import provenance, skills
-from .cards import AnswerCard, CleanReport, lift_checks
+from .cards import AnswerCard, CleanReport, passed_checks
 from .library import Library, unattended
 from .transcript import Transcript
 
@@ -148,7 +148,7 @@ class Session:
                 self._say(NUDGE)
             elif kind == "answer":
                 ran = [c for c in cells if c["status"] == "ok"]
-                if ran and not lift_checks(ran[-1]["code"]) and not bounced:
+                if ran and not passed_checks(ran[-1]["code"]) and not bounced:
                     bounced = True
                     self._say(CHECKS)
                 else:
@@ -164,7 +164,7 @@ class Session:
             flags["malformed_answer"] = kind != "answer"
             answer = answer if kind == "answer" else text
         ran = [c for c in cells if c["status"] == "ok"]
-        checks = lift_checks(ran[-1]["code"]) if ran else []
+        checks = passed_checks(ran[-1]["code"]) if ran else []
         flags["unchecked"] = bool(ran) and not checks
         intent = self._intent(question, ran, answer)
         flags["intent_mismatch"] = intent.get("verdict") == "mismatch"
@@ -322,7 +322,10 @@ class Session:
     def _admit(self, before: DataFrame, after: DataFrame, f: Finding, code: str) -> list[str]:
         """A model's verified repair as a skill on probation, if it also clears its frozen case."""
         name = f"fix-{f.slug}-{hashlib.sha256(code.encode()).hexdigest()[:6]}"
-        case = frozen_case(before, after, f.columns)
+        # rows carry their number through the repair, so those that a join has moved are paired still
+        marked = before.withColumn("__row", F.monotonically_increasing_id())
+        moved = skills.function(code)(marked, f.columns)
+        case = frozen_case(marked, moved if "__row" in moved.columns else after, f.columns)
         held, _ = admissible(case, skills.function(code), f.disease, f.columns)
         if not held or name in self.library.entries:
             return []

@@ -24,7 +24,7 @@ def diagnose(data: Any, name: str | None = None, **options) -> Report:
     """All checks over a DataFrame, or over what ``read`` makes of a path, URL or connection."""
     df = data if isinstance(data, DataFrame) else read(data, **options)
     label = name or (Path(str(data)).name if isinstance(data, (str, os.PathLike)) else "dataframe")
-    return Report(df, detect_all(df, label), label, NOTES.get(id(df)))
+    return Report(df, detect_all(df, label), label, getattr(df, NOTES, None))
 
 
 def read_sql(query: str, connection: Any) -> DataFrame:

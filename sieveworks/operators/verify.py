@@ -145,11 +145,11 @@ def frozen_case(before: DataFrame, after: DataFrame, columns: list[str]) -> Data
     shared = [c for c in columns if c in before.columns and c in after.columns]
     if not shared:
         return before.limit(CASE_SICK + CASE_HEALTHY)
-    marked = before.withColumn("__row", F.monotonically_increasing_id())
+    marked = before if "__row" in before.columns else before.withColumn("__row", F.monotonically_increasing_id())
     changed = F.lit(False)
     for i in range(len(shared)):
         changed = changed | ~F.col(f"a{i}").cast("string").eqNullSafe(F.col(f"b{i}").cast("string"))
-    pairs = aligned(marked, after.withColumn("__row", F.monotonically_increasing_id()) if "__row" not in after.columns else after, shared).select("_rid", changed.alias("sick"))
+    pairs = aligned(marked, after if "__row" in after.columns else after.withColumn("__row", F.monotonically_increasing_id()), shared).select("_rid", changed.alias("sick"))
     picked = pairs.where("sick").orderBy("_rid").limit(CASE_SICK).unionByName(pairs.where("not sick").orderBy("_rid").limit(CASE_HEALTHY))
     return marked.join(F.broadcast(picked), F.col("__row") == F.col("_rid"), "left_semi").orderBy("__row").drop("__row")
 

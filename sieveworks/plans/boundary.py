@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 #: Mean length from which a text column is measured row by row instead of by distinct value.
 LONG = 256
-LOOK = 2000
 
 
 def kind_of(t: T.DataType) -> str:
@@ -67,7 +66,12 @@ class Table:
 
     @cached_property
     def rows(self) -> int:
-        return self.source.count()
+        return self._size["n"]
+
+    @cached_property
+    def _size(self) -> dict:
+        """Rows, and the mean length of every text column, in one pass."""
+        return self.first.agg(F.count("*").alias("n"), *(F.avg(F.length(f"c{i}")).alias(f"c{i}") for i in self.of_kind("text"))).first().asDict()
 
     @property
     def width(self) -> int:
@@ -86,9 +90,5 @@ class Table:
 
     @cached_property
     def long_texts(self) -> set[int]:
-        """Text columns whose values are so long that nearly all differ, judged on the first rows."""
-        texts = self.of_kind("text")
-        if not texts:
-            return set()
-        seen = self.first.select(*(F.left(f"c{i}", F.lit(4 * LONG)).alias(f"c{i}") for i in texts)).limit(LOOK).agg(*(F.avg(F.length(f"c{i}")).alias(f"c{i}") for i in texts)).first()
-        return {i for i in texts if (seen[f"c{i}"] or 0) >= LONG}
+        """Text columns whose values are so long that nearly all differ."""
+        return {i for i in self.of_kind("text") if (self._size[f"c{i}"] or 0) >= LONG}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .plans.boundary import Table
+from .plans.measures import Measures
 
 SAMPLES, CHARS, TOP_CHARS = 3, 80, 30
 
@@ -25,14 +26,15 @@ def statistics(df: DataFrame) -> DataFrame:
     one = lambda i: F.struct(F.lit(i).alias("k"), F.xxhash64(f"c{i}").alias("h"), F.col(f"c{i}").isNotNull().alias("there"), (F.col(f"c{i}").cast("double") if i in number else F.lit(None).cast("double")).alias("x"))
     cells = table.df.select(F.explode(F.array(*map(one, range(table.width)))).alias("c")).select("c.*")
     counted = cells.groupBy("k", "h", "there", "x").agg(F.count("*").alias("n"))
+    middles = Measures(table).medians(dict.fromkeys(number, float("nan"))) if number else {}
+    middle = F.create_map(*(y for k, x in middles.items() for y in (F.lit(k), F.lit(x))))[F.col("k")] if middles else F.lit(None).cast("double")
     out = counted.groupBy("k").agg(
         F.sum(F.when(F.col("there"), F.col("n")).otherwise(0)).alias("non_null"),
         F.count_if("there").alias("distinct"),
         F.min("x").alias("min"),
-        F.percentile("x", F.lit(0.5), F.col("n")).alias("median"),
         F.max("x").alias("max"),
     )
-    return out.select(F.get(names, F.col("k")).alias("column"), F.get(types, F.col("k")).alias("type"), "non_null", "distinct", "min", "median", "max", F.col("k").alias("place"))
+    return out.select(F.get(names, F.col("k")).alias("column"), F.get(types, F.col("k")).alias("type"), "non_null", "distinct", "min", middle.alias("median"), "max", F.col("k").alias("place"))
 
 
 def profile_df(df: DataFrame, name: str, char_budget: int = 6000) -> str:

@@ -34,6 +34,10 @@ CASED = "CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment
 LABEL = "CASE WHEN c_custkey % 50 = 0 THEN 'Total' WHEN c_custkey % 50 = 1 THEN 'All segments' ELSE c_mktsegment END"
 PAIR = "CAST(10 + c_custkey % 80 AS STRING) || '.5, -' || CAST(100 + c_custkey % 60 AS STRING) || '.25'"
 
+MISSPELT = "CASE WHEN c_custkey % 11 = 0 THEN substr(c_mktsegment, 1, length(c_mktsegment) - 1) ELSE c_mktsegment END"
+DEED_LEFT = "CASE WHEN c_custkey % 4 <> 0 THEN 'plot ' || CAST(c_custkey AS STRING) || ' northumberla' ELSE 'northumberland ledger' END"
+DEED_RIGHT = "CASE WHEN c_custkey % 4 <> 0 THEN 'nd parish' ELSE 'parish ' || CAST(c_custkey AS STRING) END"
+
 
 def orders(spark: SparkSession, d: str, expr: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr(expr).alias(name))
@@ -101,6 +105,18 @@ def constants(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey", "'x' AS constant", "CAST(NULL AS STRING) AS nothing", "s_name")
 
 
+def in_feet(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS k", "CASE WHEN c_custkey % 2 = 0 THEN (100 + c_custkey % 30) * 3.28084D ELSE 100.0D + c_custkey % 30 END AS depth")
+
+
+def halved_words(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/customer.parquet").selectExpr(f"{DEED_LEFT} AS deed_text1", f"{DEED_RIGHT} AS deed_text2")
+
+
+def headed(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/nation.parquet").selectExpr("CASE WHEN n_nationkey % 10 = 0 THEN 'n_name' ELSE n_name END AS n_name", "CASE WHEN n_nationkey % 10 = 0 THEN 'Unnamed: 1' ELSE 'r' || CAST(n_regionkey AS STRING) END AS `Unnamed: 1`")
+
+
 def halves(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     t = spark.read.parquet(f"{d}/customer.parquet")
     return {"a": t.where("c_custkey % 2 = 0"), "b": t.where("c_custkey % 2 = 1").selectExpr("c_custkey AS customer_id", "c_name", "CAST(c_nationkey AS BIGINT) AS c_nationkey", "c_acctbal", "1.5D AS rate")}
@@ -131,8 +147,9 @@ def numbers_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def baseline_rows(spark: SparkSession, d: str) -> DataFrame:
-    b = verify.baseline(spark.read.parquet(f"{d}/lineitem.parquet"))
-    return spark.createDataFrame([(b.rows, len(b.hashes))], "rows long, columns int")
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    b, moved = verify.baseline(t), verify.baseline(t.withColumn("l_tax", F.expr("CASE WHEN l_orderkey % 7 = 0 THEN l_tax + 1 ELSE l_tax END")).repartition(5))
+    return spark.createDataFrame([(c, b.rows, h == moved.hashes[c]) for c, h in b.hashes.items()], "column string, rows long, same boolean")
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -175,6 +192,7 @@ def queries() -> dict[str, Query]:
         "d06_whitespace_documents": check(6, table("documents"), [("count", n), ("exotic", n), ("values", n)]),
         "d06_whitespace_customer": check(6, c(SPACED, "segment"), [("count", n), ("exotic", n), ("values", n)]),
         "d07_case_variants": check(7, c(CASED, "segment"), [("distinct", n), ("normalised", n), ("shrink", x)]),
+        "d07_fuzzy_spellings": check(7, c(MISSPELT, "segment"), [("fuzzy_pairs", n)], ["segment"]),
         "d08_mojibake_documents": check(8, table("documents"), [("count", n), ("values", n)]),
         "d09_duplicate_rows": check(9, doubled, [("dup_rows", n), ("rows", n)]),
         "d10_near_duplicate_rows": check(10, recased, [("near_dup_rows", n), ("exact_dup_rows", n)]),
@@ -186,9 +204,12 @@ def queries() -> dict[str, Query]:
         "d15_outliers_events": check(15, table("events", "value"), [("count", n), ("median", x), ("mad", x), ("max_score", x)]),
         "d15_outliers_documents": check(15, table("documents", "n_chars"), [("count", n), ("median", x), ("mad", x), ("max_score", x)]),
         "d16_units": check(16, measured, [("mixed_parameters", n)]),
+        "d16_inferred_units": check(16, in_feet, [("ratio", x)], ["depth"]),
+        "d17_split_words": check(17, halved_words, [("rows", n), ("healed_frac", x)]),
         "d17_packed_events": check(17, table("events"), [("values", n), ("packed", n)]),
         "d17_packed_coordinates": check(17, c(PAIR, "geom"), [("values", n), ("packed", n)]),
         "d17_packed_texts": check(17, table("documents", "text"), [("values", n), ("packed", n)]),
+        "d18_header_damage": check(18, headed, [("bom_columns", n), ("duplicate_columns", n), ("unnamed_columns", n), ("header_rows", n)]),
         "d19_constant_columns": check(19, constants, [("null_frac", x), ("distinct", n)]),
         "d20_schema_drift": drift,
         "d21_rollups": check(21, c(LABEL, "segment"), [("rows", n)]),
@@ -256,6 +277,7 @@ def oracle_sql() -> dict[str, str]:
         "d06_whitespace_documents": f"SELECT c AS columns, 'AUTO' AS grade, count(*) FILTER (regexp_matches(v, '{SPACE}')) AS count, count(*) FILTER (regexp_matches(v, '{EXOTIC}')) AS exotic, count(*) AS values FROM ({all_texts}) GROUP BY c HAVING count(*) FILTER (regexp_matches(v, '{SPACE}')) > 0",
         "d06_whitespace_customer": f"SELECT 'segment' AS columns, 'AUTO' AS grade, count(*) FILTER (regexp_matches(v, '{SPACE}')) AS count, CAST(0 AS BIGINT) AS exotic, count(*) AS values FROM (SELECT {spaced} AS v FROM customer)",
         "d07_case_variants": f"SELECT 'segment' AS columns, 'AUTO' AS grade, count(DISTINCT v) AS \"distinct\", count(DISTINCT lower(v)) AS normalised, round((count(DISTINCT v) - count(DISTINCT lower(v)))::DOUBLE / count(DISTINCT v), 6) AS shrink FROM (SELECT {cased} AS v FROM customer)",
+        "d07_fuzzy_spellings": f"WITH v AS (SELECT DISTINCT {_duck(MISSPELT)} AS v FROM customer) SELECT 'segment' AS columns, 'HUMAN' AS grade, count(*) AS fuzzy_pairs FROM v a JOIN v b ON length(a.v) > length(b.v) WHERE levenshtein(lower(a.v), lower(b.v)) = 1 AND 2.0 * length(b.v) / (length(a.v) + length(b.v)) >= 0.92 AND length(b.v) >= 6",
         "d08_mojibake_documents": f"SELECT c AS columns, 'GATE' AS grade, count(*) FILTER (regexp_matches(v, 'Ã|Â|â€|Ð|Ñ|' || chr(65533))) AS count, count(*) AS values FROM ({all_texts}) GROUP BY c HAVING count(*) FILTER (regexp_matches(v, 'Ã|Â|â€|Ð|Ñ|' || chr(65533))) > 0",
         "d09_duplicate_rows": "WITH t AS (SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey % 97 = 0) SELECT '' AS columns, 'AUTO' AS grade, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS dup_rows, count(*) AS rows FROM t",
         "d10_near_duplicate_rows": "WITH t AS (SELECT * FROM customer UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, lower(c_mktsegment) FROM customer WHERE c_custkey % 97 = 0), f AS (SELECT DISTINCT c_custkey, lower(c_name), c_nationkey, c_acctbal, lower(c_mktsegment) FROM t) SELECT '' AS columns, 'HUMAN' AS grade, count(*) - (SELECT count(*) FROM f) AS near_dup_rows, CAST(0 AS BIGINT) AS exact_dup_rows FROM t",
@@ -267,11 +289,14 @@ def oracle_sql() -> dict[str, str]:
         "d15_outliers_events": _outliers("events", "value"),
         "d15_outliers_documents": _outliers("documents", "n_chars"),
         "d16_units": f"SELECT 'parameter|unit' AS columns, 'AUTO' AS grade, count(*) AS mixed_parameters FROM (SELECT p FROM ({pages}) GROUP BY p HAVING count(DISTINCT u) > 1)",
+        "d16_inferred_units": "WITH t AS (SELECT log10(CASE WHEN c_custkey % 2 = 0 THEN (100 + c_custkey % 30) * 3.28084 ELSE 100.0 + c_custkey % 30 END) AS x FROM customer) SELECT 'depth' AS columns, 'HUMAN' AS grade, round(10 ** ((SELECT median(x) FROM t WHERE x > log10(200)) - (SELECT median(x) FROM t WHERE x < log10(200))), 6) AS ratio",
+        "d17_split_words": f"WITH t AS (SELECT {_duck(DEED_LEFT)} AS l, {_duck(DEED_RIGHT)} AS r FROM customer), w AS (SELECT DISTINCT lower(unnest(string_split(l || ' ' || r, ' '))) AS w FROM t), h AS (SELECT lower(string_split(l, ' ')[-1] || string_split(r, ' ')[1]) IN (SELECT w FROM w) AS healed FROM t) SELECT 'deed_text1|deed_text2' AS columns, 'AUTO' AS grade, count(*) FILTER (healed) AS rows, round(count(*) FILTER (healed)::DOUBLE / count(*), 6) AS healed_frac FROM h",
         "d17_packed_events": "SELECT 'props' AS columns, 'AUTO' AS grade, count(*) AS values, count(*) FILTER (regexp_matches(props, '^\\s*[\\[{]') AND regexp_matches(props, '[\\]}]\\s*$')) AS packed FROM events",
         "d17_packed_coordinates": f"SELECT 'geom' AS columns, 'AUTO' AS grade, count(*) AS values, count(*) FILTER (regexp_full_match(v, '\\s*-?[0-9]{{1,3}}\\.[0-9]+\\s*[,;]\\s*-?[0-9]{{1,3}}\\.[0-9]+\\s*')) AS packed FROM (SELECT {pair} AS v FROM customer)",
         "d17_packed_texts": "SELECT 'text' AS columns, 'AUTO' AS grade, count(*) AS values, count(*) FILTER (contains(text, ',')) AS packed FROM documents WHERE trim(text) <> ''",
-        "d19_constant_columns": "SELECT 'constant' AS columns, 'AUTO' AS grade, CAST(0 AS DOUBLE) AS null_frac, CAST(1 AS BIGINT) AS \"distinct\" UNION ALL SELECT 'nothing', 'AUTO', 1.0, 0",
-        "d20_schema_drift": "SELECT 'c_custkey|c_mktsegment|c_nationkey|customer_id|rate' AS columns, 'GATE' AS grade, 2 AS only_in_a, 2 AS only_in_b, 1 AS type_changes",
+        "d18_header_damage": "SELECT 'Unnamed: 1' AS columns, 'AUTO' AS grade, CAST(0 AS BIGINT) AS bom_columns, CAST(0 AS BIGINT) AS duplicate_columns, CAST(1 AS BIGINT) AS unnamed_columns, count(*) FILTER (n_nationkey % 10 = 0) AS header_rows FROM nation",
+        "d19_constant_columns": "WITH t AS (SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, 'x' AS constant, CAST(NULL AS VARCHAR) AS nothing, s_name FROM supplier), u AS (SELECT c, count(*) AS n, count(*) FILTER (v IS NULL) AS nulls, count(DISTINCT v) AS d FROM (SELECT 's_suppkey' AS c, s_suppkey AS v FROM t UNION ALL SELECT 'constant', constant FROM t UNION ALL SELECT 'nothing', nothing FROM t UNION ALL SELECT 's_name', s_name FROM t) GROUP BY c) SELECT c AS columns, 'AUTO' AS grade, round(nulls::DOUBLE / n, 6) AS null_frac, d AS \"distinct\" FROM u WHERE n >= 5 AND (nulls >= 0.995 * n OR d <= 1)",
+        "d20_schema_drift": "WITH c AS (SELECT column_name AS c, data_type AS t FROM information_schema.columns WHERE table_name = 'customer'), a AS (SELECT c, t FROM c), b AS (SELECT CASE c WHEN 'c_custkey' THEN 'customer_id' ELSE c END AS c, CASE c WHEN 'c_nationkey' THEN 'BIGINT' ELSE t END AS t FROM c WHERE c <> 'c_mktsegment' UNION ALL SELECT 'rate', 'DOUBLE'), f AS (SELECT coalesce(a.c, b.c) AS c, a.t AS x, b.t AS y FROM a FULL JOIN b ON a.c = b.c) SELECT string_agg(c, '|' ORDER BY c) AS columns, 'GATE' AS grade, CAST(count(*) FILTER (y IS NULL) AS INTEGER) AS only_in_a, CAST(count(*) FILTER (x IS NULL) AS INTEGER) AS only_in_b, CAST(count(*) FILTER (x <> y) AS INTEGER) AS type_changes FROM f WHERE x IS NULL OR y IS NULL OR x <> y",
         "d21_rollups": f"SELECT 'segment' AS columns, 'GATE' AS grade, count(*) FILTER (v IN ('Total', 'All segments')) AS rows FROM (SELECT {label} AS v FROM customer)",
         "d22_corrupted_ids": "WITH w AS (SELECT length(CAST(CASE WHEN c_custkey % 9 = 0 THEN 1000 + c_custkey % 1000 ELSE 10000 + (c_custkey * 7001) % 90000 END AS VARCHAR)) AS w FROM customer), m AS (SELECT mode(w) AS m FROM w) SELECT 'zip_code' AS columns, 'GATE' AS grade, (SELECT m FROM m) AS modal_width, count(*) FILTER (w < (SELECT m FROM m)) AS shorter, count(*) AS values, round(count(*) FILTER (w = (SELECT m FROM m))::DOUBLE / count(*), 6) AS modal_frac FROM w",
         "fix01_numbers": "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 = 3 THEN -(o_custkey + 0.5) ELSE o_custkey END AS DOUBLE) AS amount FROM orders",
@@ -280,7 +305,7 @@ def oracle_sql() -> dict[str, str]:
         "fix06_spaces": "SELECT c_custkey, c_mktsegment AS segment FROM customer",
         "fix07_spellings": f"WITH t AS (SELECT c_custkey, {cased} AS v FROM customer), s AS (SELECT lower(v) AS f, v, row_number() OVER (PARTITION BY lower(v) ORDER BY count(*) DESC, v) AS r FROM t GROUP BY v) SELECT c_custkey, s.v AS segment FROM t JOIN s ON lower(t.v) = s.f AND s.r = 1",
         "fix19_columns": "SELECT s_suppkey, CAST(NULL AS VARCHAR) AS nothing, s_name FROM supplier",
-        "verify_baseline": "SELECT count(*) AS rows, 11 AS columns FROM lineitem",
+        "verify_baseline": "WITH t AS (SELECT count(*) AS n, count(*) FILTER (l_orderkey % 7 = 0) AS hit FROM lineitem) SELECT c AS column, n AS rows, c <> 'l_tax' OR hit = 0 AS same FROM t, (SELECT unnest(['" + "', '".join((*line_numbers, *line_others)) + "']) AS c)",
         "verify_score": "WITH r AS (SELECT c_custkey % 7 = 0 AS lost FROM customer), n AS (SELECT count(*) AS changed, count(*) FILTER (NOT lost) AS correct, count(*) AS errors FROM r) SELECT changed, correct, errors, round(correct::DOUBLE / changed, 6) AS precision, round(correct::DOUBLE / errors, 6) AS recall, round(2.0 * correct / (changed + errors), 6) AS f1 FROM n",
         "family_harmonize": "SELECT 'a' AS _slice, c_custkey, c_name, CAST(c_nationkey AS DOUBLE) AS c_nationkey, c_acctbal, c_mktsegment, CAST(NULL AS DOUBLE) AS rate FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'b', c_custkey, c_name, CAST(c_nationkey AS DOUBLE), c_acctbal, NULL, 1.5 FROM customer WHERE c_custkey % 2 = 1",
         "profile_lineitem": _profile("lineitem", line_numbers, line_others),

@@ -41,8 +41,8 @@ SAMPLE_BYTES = 8192
 FETCH_BYTES = 512 * 1024 * 1024
 AGENT = "Mozilla/5.0 (compatible; data-quality-reader)"
 
-#: What was found out about frames on reading, by their id; a DataFrame has no room for it.
-NOTES: dict[int, dict] = {}
+#: The attribute of a frame that was read which holds what was found out about it.
+NOTES = "_sieve_notes"
 
 
 def session() -> SparkSession:
@@ -119,6 +119,8 @@ def plain_file(path: Path, spark: SparkSession, encoding: str = "utf-8") -> str:
             b.write(chunk if encoding == "utf-8" else decode.decode(chunk).encode())
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         return str(out)
     hadoop = spark._jvm.org.apache.hadoop.fs
     target = f"{shared.rstrip('/')}/staged-{uuid.uuid4().hex[:12]}/{out.name}"
@@ -158,15 +160,20 @@ def read_text(path: Path, spark: SparkSession, infer: bool = True, sep: str | No
     if not names:
         return spark.createDataFrame([], T.StructType())
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    options = {"sep": sep, "encoding": "utf-8" if encoding not in ("utf-8", "iso-8859-1") else encoding, "multiLine": True, "quote": '"', "escape": '"', "header": True, "enforceSchema": True, "mode": "PERMISSIVE"}
+    options = {"sep": sep, "encoding": "utf-8" if encoding not in ("utf-8", "iso-8859-1") else encoding, "multiLine": broken_lines(spark, str(local)), "quote": '"', "escape": '"', "header": True, "enforceSchema": True, "mode": "PERMISSIVE"}
     df = spark.read.schema(schema).options(**options).csv(str(local))
     df = df.select(*(F.coalesce(F.col(f"c{i}"), F.lit("")).alias(f"c{i}") for i in range(len(names))))
     df = numbers_where_all(df) if infer else df
     out = df.toDF(*names)
-    NOTES[id(out)] = {"encoding": encoding, "separator": sep, "path": str(path)}
+    setattr(out, NOTES, {"encoding": encoding, "separator": sep, "path": str(path)})
     return out
 
 
+def broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether quoted fields of a delimited file go over several lines. Only then is a file read as a whole, in one task."""
+    return bool(spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).limit(1).count())
+
+
 def unique_names(names: list[str]) -> list[str]:
     """Blank names as "Unnamed: i", repeated names numbered."""
     out, times = [], {}

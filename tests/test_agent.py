@@ -6,7 +6,7 @@ import pytest
 
 from sieveworks.__main__ import main
 from sieveworks.agent import provenance, skills, tools
-from sieveworks.agent.cards import lift_checks
+from sieveworks.agent.cards import passed_checks
 from sieveworks.agent.governance import simulate
 from sieveworks.agent.library import ACTIVE_CAP, Library, unattended
 from sieveworks.agent.session import Session, by_policy, clip, parse_tags, run_clean_once
@@ -19,15 +19,18 @@ FIX = "from pyspark.sql import functions as F\ndef fix(df, columns):\n    return
 
 def test_library_rules(tmp_path):
     lib = Library.load(tmp_path)
-    e = lib.register("a", 6)
-    assert e["state"] == "probation" and not unattended(e, "AUTO")
+    at = lambda: lib.entries["a"]
+    assert lib.register("a", 6)["state"] == "probation" and not unattended(at(), "AUTO")
     for d in ("x", "x", "y"):
-        lib.record("a", success=True, dataset=d)
-    assert e["state"] == "proven" and unattended(e, "AUTO") and not unattended(e, "GATE")
+        last = lib.record("a", success=True, dataset=d)
+    assert last["state"] == "proven" == at()["state"] and unattended(at(), "AUTO") and not unattended(at(), "GATE")
+    assert (at()["successes"], at()["datasets"]) == (3, ["x", "y"])
     lib.record("a", success=False, dataset="z")
-    assert e["state"] == "proven"
+    assert at()["state"] == "proven"
     lib.record("a", success=False, dataset="z")
-    assert e["state"] == "retired" and lib.candidates(6) == []
+    assert at()["state"] == "retired" and lib.candidates(6) == [] and at()["failures"] == 2
+    lib.record("a", success=True, dataset="x")
+    assert at()["state"] == "retired"  # for good
     lib.save()
     assert Library.load(tmp_path).entries == lib.entries
     for i in range(ACTIVE_CAP + 3):
@@ -69,7 +72,7 @@ def test_small_parts():
     assert parse_tags("x <execute>a</execute>") == ("execute", "a") and parse_tags("<answer>b</answer>") == ("answer", "b")
     assert parse_tags("none")[0] == parse_tags("<execute>a</execute><answer>b</answer>")[0] == "malformed"
     assert len(clip("x" * 9000)) < 2100 and ranges([1, 2, 3, 5]) == "1-3, 5"
-    assert lift_checks("result = 1\nassert result > 0") == [{"expr": "result > 0", "passed": True}] and lift_checks("x =") == []
+    assert passed_checks("result = 1\nassert result > 0") == [{"expr": "result > 0", "passed": True}] and passed_checks("x =") == []
     assert inline("12.0 oz", "12.0") == "12.0[- oz-]" and word_segments("a", "a") == [("equal", "a")]
     said = column_change("c", 5, 9, [("a" * 100 + " x", "a" * 100 + " y")] * 5, ["d"])
     assert "5 of 9" in said and "2 more" in said and "1 columns untouched" in said and "[-x-]{+y+}" in said
