@@ -132,7 +132,7 @@ def test_question_turn(spark, tmp_path, messy):
     assert card.answer == "There are 40 rows." and card.checks == [{"expr": "result == 40", "passed": True}] and not any(card.flags.values())
     graph = provenance.build(s.folder)
     assert provenance.trust(graph, f"claim:{card.card_id}")["trusted"]
-    assert "**Q:** How many rows?" in (s.folder / "cards" / "c001.md").read_text()
+    assert "# How many rows?" in (s.folder / "cards" / "c001.md").read_text()
 
 
 def test_question_turn_limits(spark, tmp_path, messy):
