@@ -274,7 +274,7 @@ COPY_LIKENESS = 0.8
 #: A shingle of more texts of the sample is common.
 COPY_DENSE = 6
 #: Texts that meet in one other shingle are compared pair by pair up to so many; more are a crowd as well.
-COPY_HOT = 32
+COPY_HOT = 256
 #: Texts that are looked at for common shingles, and common shingles that are kept, at most.
 SAMPLE_TEXTS = 20_000
 COMMON = 100_000
@@ -489,7 +489,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     tokens = texts.mapInArrow(_prefixes(shingle, likeness, common), "token long, node long, size int, place int, common boolean")
     tokens = scratch.keep(tokens, "prefixes")
     rare = tokens.where("not common").select("token", "node", "size", "place")
-    tasks = max(partitions(spark), -(-rare.count() // TASK_ROWS))
+    # no more tasks than memory asks for: a task reports a pair once, however many shingles it shares there
+    tasks = max(1, -(-rare.count() // TASK_ROWS))
     pairs = scratch.keep(rare.repartition(tasks, "token").mapInArrow(_prefix_pairs(likeness, hot), "a long, b long, star boolean").distinct(), "pairs")
     crowded = tokens.where("common").select("token", "node", "size", "place")
     hubs = scratch.keep(crowded.groupBy("token").agg(F.min(F.struct("place", "node")).alias("hub")).select("token", F.col("hub.node").alias("hub")), "hubs")
