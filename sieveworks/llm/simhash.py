@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, bounded_batches, bucket_of, clear_scratch, id_and_text, partitions, release, table
 
@@ -263,7 +264,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # 1. Common shingles, held by more than COPY_DENSE texts of a sample, come last in the order. Which
 #    ones the sample shows has no bearing on what is found: prefixes are exact under any order.
 # 2. Texts that meet in another shingle of their prefixes, and can still be alike by their sizes and
-#    places there, are compared.
+#    places there, are pairs. Shingles of one text are dropped first; then each knows the one before it
+#    in its text, and texts that have that in common too met there already. So a pair is made about
+#    once, not once for each shingle. Pairs are compared: first by sketches, the parity of the shingles that fall on each of
+#    SKETCH bits. Two sketches differ in no more bits than their sets differ in shingles, so a pair
+#    whose sketches are too far apart for the likeness is not alike. Texts move for the other pairs only.
 # 3. Texts with common shingles in their prefixes are crowds, and so are more than COPY_HOT that meet. A text is compared with the hub of each
 #    of its common shingles, and texts that are linked through hubs are one family. Then all texts of
 #    a family that are outside its largest group are compared with all of the family, in blocks.
@@ -278,6 +283,8 @@ COPY_HOT = 256
 #: Texts that are looked at for common shingles, and common shingles that are kept, at most.
 SAMPLE_TEXTS = 20_000
 COMMON = 100_000
+#: Bits of a sketch. Sets of more than twice as many shingles are hardly told apart and go on to their texts.
+SKETCH = 1024
 #: Shingles on either side of a block of a family, on average.
 BLOCK_SHINGLES = 1_000_000
 _LOW = 1e-9  # products with a likeness may be above a whole number by rounding
@@ -310,14 +317,20 @@ def _all_shingles(shingle: int):
     return scan
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each of SKETCH bits, whether an odd number of the hashes falls on it."""
+    return np.packbits((np.bincount(hashes & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.bool_)).tobytes()
+
+
 def _prefixes(shingle: int, likeness: float, common: np.ndarray):
-    """common: from the rarest to the most frequent."""
+    """common: from the rarest to the most frequent. The sketch of a text is with its first token, empty elsewhere."""
     ranks = np.argsort(common, kind="stable")
     known = common[ranks]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [[np.empty(0, x) for x in (np.int64, np.int64, np.int32, np.int32, np.bool_)]]
+            sketches = []
             for node, text in zip(batch.column("node").to_pylist(), batch.column("bytes")):
                 hashes = shingle_hashes(text.as_py(), shingle)
                 n = len(hashes)
@@ -327,45 +340,84 @@ def _prefixes(shingle: int, likeness: float, common: np.ndarray):
                 tokens = np.concatenate((hashes[~often], last))[: n - math.ceil(likeness * n - _LOW) + 1]
                 places = np.arange(len(tokens), dtype=np.int32)
                 parts.append([tokens, np.full(len(tokens), node), np.full(len(tokens), n, np.int32), places, places >= n - len(last)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["token", "node", "size", "place", "common"])
+                sketches.append(sketch(hashes))
+            columns = [np.concatenate(x) for x in zip(*parts)]
+            ends = np.concatenate(([0], np.cumsum((columns[3] == 0) * (SKETCH // 8)))).astype(np.int32)
+            held = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(sketches))])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), held], names=["token", "node", "size", "place", "common", "sketch"])
 
     return scan
 
 
-def _flagged(edges: pa.RecordBatch, star: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*edges.columns, pa.array(np.full(edges.num_rows, star))], names=["a", "b", "star"])
+def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray] | None:
+    """A task's columns in order of the first one, with start and length of each run of it."""
+    parts = [[b.column(x).to_numpy(zero_copy_only=False) for x in names] for b in batches if b.num_rows]
+    if not parts:
+        return None
+    columns = [np.concatenate(x) for x in zip(*parts)]
+    del parts
+    order = np.argsort(columns[0], kind="stable")
+    for i, column in enumerate(columns):
+        columns[i] = column[order]
+    starts = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1])))
+    return columns, starts, np.diff(np.append(starts, len(order)))
+
+
+def _shared(hot: int):
+    """Rows whose token is in two to hot texts; of tokens in more the edges (hub, node) to the least text, once a task."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _runs(batches, ("token", "node", "size", "place"))
+        if found is None:
+            return
+        columns, _, lengths = found
+        each = np.repeat(lengths, lengths)
+        few = (each > 1) & (each <= hot)
+        columns, members = [x[few] for x in columns], columns[1][each > hot]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(columns[0]), pa.int64())], names=["token", "node", "size", "place", "hub"])
+        if len(members):  # copies have the least text in common, however often they meet
+            large = lengths[lengths > hot]
+            hub = np.repeat(np.minimum.reduceat(members, np.cumsum(large) - large), large)
+            edges = _edges(members[members != hub], hub[members != hub])
+            none = [pa.nulls(edges.num_rows, x) for x in (pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([none[0], edges.column("b"), none[1], none[2], edges.column("a")], names=["token", "node", "size", "place", "hub"])
+
+    return scan
+
 
+def _prefix_pairs(likeness: float):
+    """Pairs of texts by the tokens they share, but for tokens right before which both have one more in common."""
 
-def _prefix_pairs(likeness: float, hot: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(x).to_numpy(zero_copy_only=False) for x in ("token", "node", "size", "place")] for b in batches if b.num_rows]
-        if not parts:
+        found = _runs(batches, ("token", "node", "size", "place", "earlier", "first"))
+        if found is None:
             return
-        tokens, nodes, sizes, places = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        order = np.argsort(tokens, kind="stable")
-        tokens, nodes, sizes, places = tokens[order], nodes[order], sizes[order], places[order]
-        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        lengths = np.diff(np.append(starts, len(tokens)))
-        run = np.repeat(np.arange(len(starts)), lengths)
-        large = lengths > hot
-        if large.any():  # crowds: a star to the least text, which copies have in common however often they meet
-            members = nodes[large[run]]
-            hub = np.repeat(np.minimum.reduceat(members, np.cumsum(lengths[large]) - lengths[large]), lengths[large])
-            yield _flagged(_edges(members[members != hub], hub[members != hub]), True)
-        ends = np.repeat(np.where(large, 0, starts + lengths), lengths)
-        at, step = np.arange(len(tokens)), 1
+        (_, nodes, sizes, places, earlier, first), starts, lengths = found
+        ends = np.repeat(starts + lengths, lengths)
+        at, step = np.arange(len(nodes)), 1
         while len(at := at[at + step < ends[at]]):
             for part in np.array_split(at, -(-len(at) // 1_000_000)):
                 to = part + step
                 shared = np.minimum(sizes[part] - places[part], sizes[to] - places[to])
                 near = (shared >= likeness / (1 + likeness) * (sizes[part] + sizes[to]) - _LOW) & (nodes[part] != nodes[to])
-                yield _flagged(_edges(nodes[part][near], nodes[to][near]), False)
+                near &= first[part] | first[to] | (earlier[part] != earlier[to])
+                yield _edges(nodes[part][near], nodes[to][near])
             step += 1
 
     return scan
 
 
+def _may_be_alike(likeness: float):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            both = batch.column("m").to_numpy().astype(np.int64) + batch.column("n").to_numpy()
+            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (1 - likeness) / (1 + likeness) * both + _LOW
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return scan
+
+
 def _alike(shingle: int, least: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -486,24 +538,38 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     release(spark)
 
     common = _common_shingles(texts, n, shingle, dense)
-    tokens = texts.mapInArrow(_prefixes(shingle, likeness, common), "token long, node long, size int, place int, common boolean")
+    tokens = texts.mapInArrow(_prefixes(shingle, likeness, common), "token long, node long, size int, place int, common boolean, sketch binary")
     tokens = scratch.keep(tokens, "prefixes")
     rare = tokens.where("not common").select("token", "node", "size", "place")
-    # no more tasks than memory asks for: a task reports a pair once, however many shingles it shares there
-    tasks = max(1, -(-rare.count() // TASK_ROWS))
-    pairs = scratch.keep(rare.repartition(tasks, "token").mapInArrow(_prefix_pairs(likeness, hot), "a long, b long, star boolean").distinct(), "pairs")
+    tasks = max(partitions(spark), -(-rare.count() // TASK_ROWS))
+    met = rare.repartition(tasks, "token").mapInArrow(_shared(hot), "token long, node long, size int, place int, hub long")
+    met = scratch.keep(met, "shared")
+    before = F.lag("token").over(Window.partitionBy("node").orderBy("place"))
+    chained = met.where("hub is null").select("token", "node", "size", "place", F.coalesce(before, F.lit(0)).alias("earlier"), before.isNull().alias("first"))
+    tasks = max(partitions(spark), -(-met.count() // TASK_ROWS))
+    pairs = scratch.keep(chained.repartition(tasks, "token").mapInArrow(_prefix_pairs(likeness), "a long, b long"), "pairs")
     crowded = tokens.where("common").select("token", "node", "size", "place")
     hubs = scratch.keep(crowded.groupBy("token").agg(F.min(F.struct("place", "node")).alias("hub")).select("token", F.col("hub.node").alias("hub")), "hubs")
     stars = crowded.join(hubs, "token").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    stars = scratch.keep(stars.unionByName(pairs.where("star").select("a", "b")).distinct(), "stars")
-    edges = scratch.keep(pairs.where("not star").select("a", "b").unionByName(stars).distinct(), "edges-met")
+    stars = scratch.keep(stars.unionByName(met.where("hub is not null").select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct(), "stars")
+    edges = scratch.keep(pairs.unionByName(stars).distinct(), "edges-met")
     crowds = stars.limit(1).count() > 0
-    sizes = scratch.keep(tokens.where("place = 0").select("node", "size"), "sizes") if crowds else None  # a row for each text
+    sizes = scratch.keep(tokens.where("place = 0").select("node", "size", "sketch"), "sizes")  # a row for each text
     scratch.drop("prefixes")
+    scratch.drop("shared")
     scratch.drop("pairs")
     release(spark)
-    both = edges.join(texts.withColumnsRenamed({"node": "a", "bytes": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "bytes": "y"}), "b")
+    both = edges.join(sizes.toDF("a", "m", "x"), "a").join(sizes.toDF("b", "n", "y"), "b")
+    edges = scratch.keep(both.mapInArrow(_may_be_alike(likeness), "a long, b long"), "edges-near")
+    scratch.drop("edges-met")
+    sizes = sizes.select("node", "size")
+    release(spark)
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    paired = scratch.keep(texts.join(nodes, "node", "left_semi"), "paired")
+    release(spark)
+    both = edges.join(paired.toDF("a", "x"), "a").join(paired.toDF("b", "y"), "b")
     alike = scratch.keep(both.mapInArrow(_alike(shingle, likeness), "a long, b long, fits boolean"), "compared").where("fits").select("a", "b")
+    scratch.drop("paired")
     release(spark)
     if crowds:
         more = _crowd_links(spark, stars, alike, sizes, texts, scratch, shingle, likeness)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -240,3 +241,40 @@ def test_near_copies_within_crowds(spark, monkeypatch):
     assert copy_groups(spark, texts) == want
     monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 20_000)
     assert copy_groups(spark, texts, hot=20, dense=1000) == want
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(17)
+    for size in (1, 5, 300, 3000):
+        base = np.unique(rng.integers(-(2**63), 2**63 - 1, size))
+        for changed in (0, 1, size // 10, size):
+            other = np.unique(np.concatenate((base[changed:], rng.integers(-(2**63), 2**63 - 1, changed))))
+            a, b = (np.frombuffer(simhash.sketch(x), np.uint64) for x in (base, other))
+            bits = np.bitwise_count(a ^ b).sum()
+            assert bits <= len(np.setxor1d(base, other))
+            assert changed or not bits
+
+
+def test_pairs_that_share_many_shingles_are_made_about_once(spark):
+    rng = random.Random(18)
+    texts = []
+    for i in range(40):
+        base = [f"t{i}w{j}" for j in range(200)]
+        texts += [edited(rng, base, 2) for _ in range(4)]
+    want = likeness_groups(texts)
+    made = []
+    keep = simhash.Scratch.keep
+
+    def counted(self, df, name):
+        found = keep(self, df, name)
+        if name == "pairs":
+            made.append((found.count(), found.distinct().count()))
+        return found
+
+    simhash.Scratch.keep = counted
+    try:
+        assert copy_groups(spark, texts) == want
+    finally:
+        simhash.Scratch.keep = keep
+    rows, pairs = made[0]
+    assert 240 == pairs <= rows <= 8 * pairs
