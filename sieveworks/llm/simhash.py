@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -257,31 +258,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # --- near copies by shared shingles ------------------------------------------------------------
 #
-# Near copies are texts whose shingle sets have a Jaccard likeness of COPY_LIKENESS or more. All such
-# pairs are found by prefixes, under one order of all shingles: two sets of likeness t share at least
-# the part t of either, so the first shingle they share stands among the first (1 - t) n + 1 of each.
+# Near copies are texts whose shingle sets have a Jaccard likeness of COPY_LIKENESS or more.
 #
-# 1. Common shingles, held by more than COPY_DENSE texts of a sample, come last in the order. Which
-#    ones the sample shows has no bearing on what is found: prefixes are exact under any order.
-# 2. Texts that meet in another shingle of their prefixes, and can still be alike by their sizes and
+# 1. SimHash comes first: fingerprints of all texts are linked by balls as above, and the links are
+#    checked by the shingle sets of their texts. Fingerprints of copies with added or cut text mostly
+#    differ in more bits, so what follows finds, exactly, the pairs that are left: by prefixes, under
+#    one order of all shingles. Two sets of likeness t share at least the part t of either, so the
+#    first shingle they share stands among the first (1 - t) n + 1 of each.
+# 2. Shingles held by more than COPY_DENSE texts of a sample come last in the order, the most frequent
+#    at the end. Which ones the sample shows has no bearing on what is found: prefixes are exact under
+#    any order. The sample grows with the texts, so that few shingles of many texts are in prefixes.
+# 3. Texts that meet in a shingle of their prefixes, and can still be alike by their sizes and
 #    places there, are pairs. Shingles of one text are dropped first; then each knows the one before it
 #    in its text, and texts that have that in common too met there already. So a pair is made about
-#    once, not once for each shingle. Pairs are compared: first by sketches, the parity of the shingles that fall on each of
+#    once, not once for each shingle. Pairs that SimHash has not grouped are compared: first by sketches, the parity of the shingles that fall on each of
 #    SKETCH bits. Two sketches differ in no more bits than their sets differ in shingles, so a pair
 #    whose sketches are too far apart for the likeness is not alike. Texts move for the other pairs only.
-# 3. Texts with common shingles in their prefixes are crowds, and so are more than COPY_HOT that meet. A text is compared with the hub of each
-#    of its common shingles, and texts that are linked through hubs are one family. Then all texts of
+# 4. More than COPY_HOT texts that meet are a crowd. A text is compared with the least text of each task's
+#    crowds, and texts that are linked through such hubs are one family. Then all texts of
 #    a family that are outside its largest group are compared with all of the family, in blocks.
-#    A pair that meets in a common shingle only is of one family, so none is left out.
+#    A pair that meets in crowds only is of one family, so none is left out.
+#
+# Prefixes are shuffled as they are made, and each step's tables and shuffle files go before the next.
 
 COPY_SHINGLE = 5
 COPY_LIKENESS = 0.8
 #: A shingle of more texts of the sample is common.
 COPY_DENSE = 6
-#: Texts that meet in one other shingle are compared pair by pair up to so many; more are a crowd as well.
+#: Texts that meet in one shingle are compared pair by pair up to so many; more are a crowd.
 COPY_HOT = 256
-#: Texts that are looked at for common shingles, and common shingles that are kept, at most.
-SAMPLE_TEXTS = 20_000
+#: Texts that are looked at for common shingles: one in SAMPLE_SHARE, but as many as SAMPLE_TEXTS if there are; and common shingles that are kept, at most.
+SAMPLE_TEXTS, SAMPLE_SHARE = 20_000, 8
 COMMON = 100_000
 #: Bits of a sketch. Sets of more than twice as many shingles are hardly told apart and go on to their texts.
 SKETCH = 1024
@@ -323,14 +330,15 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def _prefixes(shingle: int, likeness: float, common: np.ndarray):
-    """common: from the rarest to the most frequent. The sketch of a text is with its first token, empty elsewhere."""
+    """The tokens of the prefixes, and for each text a row of place -1 with its size and sketch, its node as token. common: from the rarest to the most frequent."""
     ranks = np.argsort(common, kind="stable")
     known = common[ranks]
+    names = ["token", "node", "size", "place", "sketch"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [[np.empty(0, x) for x in (np.int64, np.int64, np.int32, np.int32, np.bool_)]]
-            sketches = []
+            parts = [[np.empty(0, x) for x in (np.int64, np.int64, np.int32, np.int32)]]
+            heads = []
             for node, text in zip(batch.column("node").to_pylist(), batch.column("bytes")):
                 hashes = shingle_hashes(text.as_py(), shingle)
                 n = len(hashes)
@@ -338,13 +346,13 @@ def _prefixes(shingle: int, likeness: float, common: np.ndarray):
                 often = known[np.minimum(at, len(known) - 1)] == hashes if len(known) else np.zeros(n, np.bool_)
                 last = hashes[often][np.argsort(ranks[at[often]])]
                 tokens = np.concatenate((hashes[~often], last))[: n - math.ceil(likeness * n - _LOW) + 1]
-                places = np.arange(len(tokens), dtype=np.int32)
-                parts.append([tokens, np.full(len(tokens), node), np.full(len(tokens), n, np.int32), places, places >= n - len(last)])
-                sketches.append(sketch(hashes))
-            columns = [np.concatenate(x) for x in zip(*parts)]
-            ends = np.concatenate(([0], np.cumsum((columns[3] == 0) * (SKETCH // 8)))).astype(np.int32)
-            held = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(sketches))])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), held], names=["token", "node", "size", "place", "common", "sketch"])
+                parts.append([tokens, np.full(len(tokens), node), np.full(len(tokens), n, np.int32), np.arange(len(tokens), dtype=np.int32)])
+                heads.append((node, node, n, -1, sketch(hashes)))
+            columns = [pa.array(np.concatenate(x)) for x in zip(*parts)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], names=names)
+            if heads:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*heads), kinds)], names=names)
 
     return scan
 
@@ -364,23 +372,31 @@ def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> tuple[li
 
 
 def _shared(hot: int):
-    """Rows whose token is in two to hot texts; of tokens in more the edges (hub, node) to the least text, once a task."""
+    """Rows of texts, and rows whose token is in two to hot texts; of tokens in more the edges (hub, node) to the least text, once a task."""
+    names = ["token", "node", "size", "place", "hub", "sketch"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _runs(batches, ("token", "node", "size", "place"))
+        tokens = []
+        for batch in batches:
+            head = pc.equal(batch.column("place"), -1)
+            texts = batch.filter(head)
+            yield pa.RecordBatch.from_arrays([*texts.columns[:4], pa.nulls(texts.num_rows, pa.int64()), texts.column("sketch")], names=names)
+            tokens.append(batch.select(names[:4]).filter(pc.invert(head)))
+        found = _runs(tokens, ("token", "node", "size", "place"))
         if found is None:
             return
         columns, _, lengths = found
         each = np.repeat(lengths, lengths)
         few = (each > 1) & (each <= hot)
         columns, members = [x[few] for x in columns], columns[1][each > hot]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(columns[0]), pa.int64())], names=["token", "node", "size", "place", "hub"])
+        none = [pa.nulls(len(columns[0]), x) for x in (pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *none], names=names)
         if len(members):  # copies have the least text in common, however often they meet
             large = lengths[lengths > hot]
             hub = np.repeat(np.minimum.reduceat(members, np.cumsum(large) - large), large)
             edges = _edges(members[members != hub], hub[members != hub])
-            none = [pa.nulls(edges.num_rows, x) for x in (pa.int64(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([none[0], edges.column("b"), none[1], none[2], edges.column("a")], names=["token", "node", "size", "place", "hub"])
+            none = [pa.nulls(edges.num_rows, x) for x in (pa.int64(), pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([none[0], edges.column("b"), none[1], none[2], edges.column("a"), none[3]], names=names)
 
     return scan
 
@@ -478,12 +494,45 @@ def _across(shingle: int, likeness: float):
 
 
 def _common_shingles(texts: DataFrame, classes: int, shingle: int, dense: int) -> np.ndarray:
-    sample = texts.where(bucket_of("node", -(-classes // SAMPLE_TEXTS)) == 0) if classes > SAMPLE_TEXTS else texts
+    share = min(-(-classes // SAMPLE_TEXTS), SAMPLE_SHARE)
+    sample = texts.where(bucket_of("node", share) == 0) if share > 1 else texts
     counts = sample.select("bytes").mapInArrow(_all_shingles(shingle), "token long").groupBy("token").count().where(F.col("count") > dense)
     found = counts.orderBy(F.desc("count"), "token").limit(COMMON).collect()
     return np.array([r.token for r in reversed(found)], np.int64)
 
 
+def _simhash_links(texts: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
+    """Edges (a, b) between texts (node, bytes) that SimHash links: to the least text of one fingerprint, and between such texts."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = pa.array([fingerprint(x.as_py(), shingle) for x in batch.column("bytes")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), fps], names=["node", "fp"])
+
+    fps = scratch.keep(texts.mapInArrow(scan, "node long, fp long"), "fingerprints")
+    heads = scratch.keep(fps.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    found = scratch.keep(links(heads.select("fp"), scratch), "fingerprint-links")
+    across = found.join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    within = fps.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    edges = scratch.keep(across.unionByName(within).distinct(), "simhash-links")
+    for name in ("fingerprints", "heads", "fingerprint-links", "met", "crowded"):
+        scratch.drop(name)
+    release(texts.sparkSession)
+    return edges
+
+
+def _compared(edges: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, likeness: float, tag: str) -> DataFrame:
+    """The edges (a, b) whose texts have that likeness."""
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    paired = scratch.keep(texts.join(nodes, "node", "left_semi"), f"paired{tag}")
+    release(texts.sparkSession)
+    both = edges.join(paired.toDF("a", "x"), "a").join(paired.toDF("b", "y"), "b")
+    alike = scratch.keep(both.mapInArrow(_alike(shingle, likeness), "a long, b long, fits boolean"), f"compared{tag}").where("fits").select("a", "b")
+    scratch.drop(f"paired{tag}")
+    release(texts.sparkSession)
+    return alike
+
+
 def _crowd_links(spark: SparkSession, stars: DataFrame, alike: DataFrame, sizes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, likeness: float) -> DataFrame | None:
     """Edges between groups of one family that comparing with hubs left apart; None if there are no such groups."""
     families = components(stars, scratch, "-families").withColumnRenamed("root", "family")
@@ -537,26 +586,29 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         texts = scratch.keep(texts.groupBy("node").agg(F.min("bytes").alias("bytes")), "texts-once")
     release(spark)
 
+    linked = _compared(_simhash_links(texts, scratch, shingle), texts, scratch, shingle, likeness, "-simhash")
+    groups = components(linked, scratch, "-simhash")
+
     common = _common_shingles(texts, n, shingle, dense)
-    tokens = texts.mapInArrow(_prefixes(shingle, likeness, common), "token long, node long, size int, place int, common boolean, sketch binary")
-    tokens = scratch.keep(tokens, "prefixes")
-    rare = tokens.where("not common").select("token", "node", "size", "place")
-    tasks = max(partitions(spark), -(-rare.count() // TASK_ROWS))
-    met = rare.repartition(tasks, "token").mapInArrow(_shared(hot), "token long, node long, size int, place int, hub long")
+    prefixes = texts.mapInArrow(_prefixes(shingle, likeness, common), "token long, node long, size int, place int, sketch binary")
+    words = (texts.agg(F.sum(F.length("bytes"))).first()[0] or 0) / 5
+    tasks = max(partitions(spark), math.ceil((1 - likeness) * words / TASK_ROWS))
+    met = prefixes.repartition(tasks, "token").mapInArrow(_shared(hot), "token long, node long, size int, place int, hub long, sketch binary")
     met = scratch.keep(met, "shared")
+    release(spark)
+    stars = scratch.keep(met.where("hub is not null").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    crowds = stars.limit(1).count() > 0
+    sizes = scratch.keep(met.where("place = -1").select("node", "size", "sketch"), "sizes")  # a row for each text
     before = F.lag("token").over(Window.partitionBy("node").orderBy("place"))
-    chained = met.where("hub is null").select("token", "node", "size", "place", F.coalesce(before, F.lit(0)).alias("earlier"), before.isNull().alias("first"))
-    tasks = max(partitions(spark), -(-met.count() // TASK_ROWS))
+    chained = met.where("place >= 0").select("token", "node", "size", "place", F.coalesce(before, F.lit(0)).alias("earlier"), before.isNull().alias("first"))
+    chained = scratch.keep(chained, "chained")
+    scratch.drop("shared")
+    release(spark)
+    tasks = max(partitions(spark), -(-chained.count() // TASK_ROWS))
     pairs = scratch.keep(chained.repartition(tasks, "token").mapInArrow(_prefix_pairs(likeness), "a long, b long"), "pairs")
-    crowded = tokens.where("common").select("token", "node", "size", "place")
-    hubs = scratch.keep(crowded.groupBy("token").agg(F.min(F.struct("place", "node")).alias("hub")).select("token", F.col("hub.node").alias("hub")), "hubs")
-    stars = crowded.join(hubs, "token").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    stars = scratch.keep(stars.unionByName(met.where("hub is not null").select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct(), "stars")
+    scratch.drop("chained")
+    release(spark)
     edges = scratch.keep(pairs.unionByName(stars).distinct(), "edges-met")
-    crowds = stars.limit(1).count() > 0
-    sizes = scratch.keep(tokens.where("place = 0").select("node", "size", "sketch"), "sizes")  # a row for each text
-    scratch.drop("prefixes")
-    scratch.drop("shared")
     scratch.drop("pairs")
     release(spark)
     both = edges.join(sizes.toDF("a", "m", "x"), "a").join(sizes.toDF("b", "n", "y"), "b")
@@ -564,13 +616,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     scratch.drop("edges-met")
     sizes = sizes.select("node", "size")
     release(spark)
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    paired = scratch.keep(texts.join(nodes, "node", "left_semi"), "paired")
-    release(spark)
-    both = edges.join(paired.toDF("a", "x"), "a").join(paired.toDF("b", "y"), "b")
-    alike = scratch.keep(both.mapInArrow(_alike(shingle, likeness), "a long, b long, fits boolean"), "compared").where("fits").select("a", "b")
-    scratch.drop("paired")
-    release(spark)
+    known = edges.join(groups.toDF("a", "p"), "a", "left").join(groups.toDF("b", "q"), "b", "left")
+    edges = scratch.keep(known.where("p is null or q is null or p <> q").select("a", "b"), "edges-new")
+    alike = linked.unionByName(_compared(edges, texts, scratch, shingle, likeness, ""))
     if crowds:
         more = _crowd_links(spark, stars, alike, sizes, texts, scratch, shingle, likeness)
         alike = alike if more is None else alike.unionByName(scratch.keep(more, "across"))
