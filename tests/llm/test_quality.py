@@ -40,3 +40,37 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert quality.good_only(odd_documents, labels).columns == odd_documents.columns
     assert quality.scored(no_documents, quality.train(no_documents, labels)).count() == 0
     assert {r.score for r in quality.scored(odd_documents, quality.train(no_documents, labels)).collect()} == {0.5}
+
+
+def test_every_labelled_document_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 40)
+    monkeypatch.setattr(quality, "BLOCK_RARE", 10)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    blocks, keep = {}, quality.Scratch.keep
+
+    def kept(self, df, name):
+        found = keep(self, df, name)
+        blocks[name] = found.collect()
+        return found
+
+    monkeypatch.setattr(quality.Scratch, "keep", kept)
+    model = quality.train(docs, labels)
+    marks = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    texts = {r.doc_id: quality.features((r.text or "").encode()) for r in docs.collect()}
+    want = {k: sorted(texts[i].tobytes() for i, q in marks.items() if q == k and i in texts) for k in (0, 1)}
+    width = 8 * quality.FEATURES
+    held = {k: [x[i : i + width] for r in blocks["blocks"] for x in [bytes(r[c])] for i in range(0, len(x), width)] for k, c in ((0, "bad"), (1, "good"))}
+    assert len(blocks["blocks"]) > 3 and all(len(r.good) and len(r.bad) for r in blocks["blocks"])
+    assert sorted(held[1]) == want[1] and sorted(set(held[0])) == sorted(set(want[0]))
+
+    x = np.array([texts[i] for i in marks if i in texts])
+    assert np.allclose(model["mean"], x.mean(axis=0)) and np.allclose(model["scale"], x.std(axis=0) + 1e-6, atol=1e-6)
+    raw = np.clip((x - model["mean"]) / model["scale"], -6, 6) @ model["w"]
+    bad = sum(q == 0 for i, q in marks.items() if i in texts)
+    assert (raw < model["cut"]).sum() == bad
+
+
+def test_pairs_hold_every_document():
+    good, bad = np.arange(1000.0)[:, None], 10_000.0 * np.arange(1, 8)[:, None]
+    found = quality.paired(good, bad, 50, 0)[:, 0]
+    assert len(found) == 1000 and sorted(set((found + 70_000) % 10_000)) == sorted(good[:, 0])
